@@ -16,8 +16,8 @@ import numpy as np
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 _BLANK, _QUOTE = 0x20, 0x27
 _WEIGHED = 64
-_RNG = np.random.default_rng(20240607)
-_WEIGHTS = _RNG.integers(1, 1 << 63, _WEIGHED, dtype=np.uint64) | np.uint64(1)
+_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 0x110000, dtype=np.uint64)
+_POWERS: list[np.ndarray] = []
 _CLASSES: list[np.ndarray] = []
 #: Single documents above this are cut at places where a piece must start.
 LONG_TEXT = 1 << 21
@@ -71,16 +71,23 @@ def split(joined: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cp, np.flatnonzero(start[:n])
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, ``n`` of each at least."""
+    if not _POWERS or _POWERS[0].size < n:
+        base, size = 0x9E3779B97F4A7C15, max(n, LONG_TEXT)
+        _POWERS[:] = [np.cumprod(np.full(size, x, np.uint64)) for x in (base, pow(base, -1, 1 << 64))]
+    return _POWERS[0][:n], _POWERS[1]
+
+
 def _keys(joined: str, cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each piece: a multilinear hash, or XXH3 of pieces over 64 code points."""
-    sizes = np.diff(np.append(starts, cp.size))
-    mixed = (cp.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    place = np.arange(cp.size) - np.repeat(starts, sizes)
-    np.minimum(place, _WEIGHED - 1, out=place)
-    mixed *= _WEIGHTS[place]
-    keys = np.add.reduceat(mixed, starts)
+    """A 64-bit key for each piece: a polynomial over random code point values, or XXH3 of pieces over 64 code points."""
+    power, inverse = _powers(cp.size)
+    sums = np.empty(cp.size + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_VALUES[cp] * power, out=sums[1:])
+    stops = np.append(starts[1:], cp.size)
+    sizes = stops - starts
+    keys = (sums[stops] - sums[starts]) * inverse[starts]
     keys ^= keys >> np.uint64(31)
     keys += sizes.astype(np.uint64)
     long = np.flatnonzero(sizes > _WEIGHED)
@@ -115,7 +122,7 @@ class PieceMemory:
     most ``limit`` pieces are remembered; beyond that the memory starts anew.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1 << 19):
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1 << 20):
         self.encode_many, self.limit = encode_many, limit
         self._forget()
 
