@@ -114,6 +114,15 @@ def learn(docs: DataFrame, folds: int = 4, held_fold: int = 2) -> Languages | No
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
+def _named(model: Languages | None, batch: pa.RecordBatch, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Predicted names and scores of a slice; ``und`` without a letter or a model."""
+    if model is None:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    letters = pc.fill_null(pc.match_substring_regex(batch.column("text"), r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    best, score = model.predict(texts)
+    return [model.names[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), letters.tolist(), strict=True)], np.where(letters, score, 0.0)
+
+
 def identify(docs: DataFrame, model: Languages | None, folds: int = 4, held_fold: int = 2) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every document."""
     # One row of 2 ** BITS buckets for each learned language, whatever the corpus.
@@ -121,15 +130,20 @@ def identify(docs: DataFrame, model: Languages | None, folds: int = 4, held_fold
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", F.coalesce(residue(docs["doc_id"].cast("long"), folds) == held_fold, F.lit(False)).alias("held_out"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch, texts in slices(batches):
-            letters = pc.fill_null(pc.match_substring_regex(batch.column("text"), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            if model is None:
-                letters = np.zeros(len(texts), bool)
-                best, score = np.zeros(len(texts), int), np.zeros(len(texts))
-            else:
-                best, score = model.predict(texts)
-            names = [model.names[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), letters.tolist(), strict=True)]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0))], names=["doc_id", "held_out", "lang_pred", "score"])
+            names, score = _named(shared.value, batch, texts)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def drop_unidentified(docs: DataFrame, model: Languages | None, least_score: float = 0.5) -> DataFrame:
+    """``docs`` without those that are ``und`` or less sure than ``least_score``; all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            names, score = _named(shared.value, batch, texts)
+            yield batch.filter(pa.array((np.array(names) != UNKNOWN) & (score >= least_score)))
+
+    return docs.mapInArrow(run, docs.schema)

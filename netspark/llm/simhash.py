@@ -99,36 +99,39 @@ def anchors(halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((rows, rows, np.repeat(off, 15))), np.concatenate((near, other, two.ravel()))
 
 
-def replicas(distinct: DataFrame) -> DataFrame:
-    """``anchor, fp`` for both halves of every distinct fingerprint."""
+def replicas(prints: DataFrame) -> DataFrame:
+    """``anchor, fp, node, check`` for both halves of every fingerprint; each table has its own anchors."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
+            table, fps, node, check = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("table", "fp", "node", "check"))
             for half in (0, 1):
                 row, anchor = anchors((fps.view(np.uint64) >> np.uint64(32 * half)).astype(np.uint32))
-                yield pa.record_batch([pa.array(anchor.astype(np.int64) | (half << 32)), pa.array(fps[row])], names=["anchor", "fp"])
+                places = anchor.astype(np.int64) | (half << 32) | (table[row] << 33)
+                yield pa.record_batch([pa.array(places), pa.array(fps[row]), pa.array(node[row]), pa.array(check[row])], names=["anchor", "fp", "node", "check"])
 
-    return distinct.mapInArrow(run, "anchor long, fp long")
+    return prints.select("table", "fp", "node", "check").mapInArrow(run, "anchor long, fp long, node long, check long")
 
 
-def _forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among one anchor's fingerprints."""
-    edges, rest = [], fps.view(np.uint64)
+def _forest(fps: np.ndarray, nodes: np.ndarray, checks: np.ndarray, bits: int, check_bits: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among one anchor's fingerprints, from the least nodes down."""
+    order = np.argsort(nodes, kind="stable")
+    edges, rest, name, check = [], fps[order].view(np.uint64), nodes[order], checks[order].view(np.uint64)
     while rest.size > 1:
-        frontier, rest = [rest[0]], rest[1:]
+        frontier = [(rest[0], name[0], check[0])]
+        rest, name, check = rest[1:], name[1:], check[1:]
         while frontier and rest.size:
-            at = frontier.pop()
+            at, own, sign = frontier.pop()
             near = np.bitwise_count(rest ^ at) <= bits
             if near.any():
-                found = rest[near]
-                rest = rest[~near]
-                edges += [(int(at.view(np.int64)), int(x)) for x in found.view(np.int64)]
-                frontier += list(found)
+                near &= np.bitwise_count(check ^ sign) <= check_bits
+                edges += [(int(own), x) for x in name[near].tolist()]
+                frontier += list(zip(rest[near], name[near], check[near], strict=True))
+                rest, name, check = rest[~near], name[~near], check[~near]
     return edges
 
 
-def _links(anchor: np.ndarray, fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
+def _links(anchor: np.ndarray, fps: np.ndarray, nodes: np.ndarray, checks: np.ndarray, bits: int, check_bits: int) -> list[tuple[int, int]]:
     """Links of whole runs of equal anchors."""
     edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True])))
     sizes = np.diff(edge)
@@ -137,37 +140,50 @@ def _links(anchor: np.ndarray, fps: np.ndarray, bits: int) -> list[tuple[int, in
     plain = fps.view(np.uint64)
     some = np.flatnonzero((sizes > 1) & ~hit)
     if some.size:
-        left = np.repeat(sizes, sizes) - (np.arange(anchor.size) - np.repeat(begin, sizes))  # rows of the run from here on
+        # Compare rows one, two, ... places apart within their run, for all short runs at once.
+        left = np.repeat(np.where(hit, 0, sizes), sizes) - (np.arange(anchor.size) - np.repeat(begin, sizes))
         owner = np.repeat(np.arange(sizes.size), sizes)
-        for lag in range(1, int(sizes[some].max())):
-            at = np.flatnonzero((left > lag) & ~hit[owner])
+        at = np.flatnonzero(left > 1)
+        lag = 1
+        while at.size:
             linked = np.bitwise_count(plain[at] ^ plain[at + lag]) <= bits
             hit[owner[at[linked]]] = True
-    return [e for run in np.flatnonzero(hit).tolist() for e in _forest(fps[begin[run] : begin[run] + sizes[run]], bits)]
+            lag += 1
+            at = at[left[at] > lag]
+    out = []
+    for run in np.flatnonzero(hit).tolist():
+        here = slice(begin[run], begin[run] + sizes[run])
+        out += _forest(fps[here], nodes[here], checks[here], bits, check_bits)
+    return out
+
 
+def links(prints: DataFrame, bits: int = 4, check_bits: int = 64) -> DataFrame:
+    """``u, v``: enough of the linked pairs of nodes to connect all of them.
 
-def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
-    """``u, v``: enough of the pairs of fingerprints at most ``bits`` apart to connect all of them."""
+    ``prints(table, fp, node, check)``: two nodes are linked if their fingerprints
+    in some table are at most ``bits`` apart and their checks at most ``check_bits``.
+    """
     if not 0 <= bits <= 5:
         raise ValueError("the anchors cover at most 5 differing bits")
-    copies = replicas(distinct)
-    crowded = copies.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).withColumn("chunks", F.ceil(F.col("n") * 2 / CROWD).cast("int"))
-    crowded = materialise(crowded.select("anchor", "chunks"), "crowded")
+    copies = replicas(prints)
+    crowded = copies.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD)
+    crowded = materialise(crowded.select("anchor", F.ceil(F.col("n") * 2 / CROWD).cast("int").alias("chunks")), "crowded")
     if not crowded.isEmpty():
         held = copies.join(crowded, "anchor", "left")
-        own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-        cell = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda x: F.least(own, x) * F.col("chunks") + F.greatest(own, x))))
-        copies = held.select("anchor", cell.alias("cell"), "fp").select(F.xxhash64("anchor", "cell").alias("anchor"), "fp")
+        own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+        cells = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda x: F.least(own, x) * F.col("chunks") + F.greatest(own, x))
+        dealt = held.withColumn("cell", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(cells)))
+        copies = dealt.select(F.xxhash64("anchor", "cell").alias("anchor"), "fp", "node", "check")
+    names = ("anchor", "fp", "node", "check")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_a, kept_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        kept = [np.zeros(0, np.int64)] * 4
         for batch in batches:
-            a = np.concatenate((kept_a, batch.column("anchor").to_numpy(zero_copy_only=False)))
-            f = np.concatenate((kept_f, batch.column("fp").to_numpy(zero_copy_only=False)))
-            cut = int(np.searchsorted(a, a[-1])) if a.size else 0  # the last run may go on
-            yield _pairs(_links(a[:cut], f[:cut], bits) if cut else [])
-            kept_a, kept_f = a[cut:], f[cut:]
-        yield _pairs(_links(kept_a, kept_f, bits) if kept_a.size else [])
+            kept = [np.concatenate((old, batch.column(c).to_numpy(zero_copy_only=False))) for old, c in zip(kept, names, strict=True)]
+            cut = int(np.searchsorted(kept[0], kept[0][-1])) if kept[0].size else 0  # the last run may go on
+            yield _pairs(_links(*(x[:cut] for x in kept), bits, check_bits) if cut else [])
+            kept = [x[cut:] for x in kept]
+        yield _pairs(_links(*kept, bits, check_bits) if kept[0].size else [])
 
     return copies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "u long, v long")
 
@@ -182,8 +198,69 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, bits: int = 4) -> D
     prints = materialise(fingerprints(docs, shingle_words), "prints")
     # One row a fingerprint: its least document.  Partial minima keep a fingerprint of many copies from meeting in one task.
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    parts = connected_components(links(distinct.select("fp"), bits))
+    parts = connected_components(links(distinct.select(F.lit(0).alias("table"), "fp", F.col("fp").alias("node"), F.lit(0).alias("check")), bits))
     least = materialise(distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "labels")
     named = least.groupBy("component").agg(F.min("first").alias("component_id"))
     by_print = least.join(named, "component").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- copies at a shingle similarity -------------------------------------------
+
+TABLES = 4
+WORD_BITS = 5
+SHINGLE_BITS = 14
+_SPREAD = [np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for i in range(TABLES)]
+
+
+def word_fingerprints(text: str | None) -> list[int]:
+    """One fingerprint a table over a text's distinct words, which few edits move by few bits."""
+    words = set(text.encode("utf-8", "surrogatepass").translate(_LOWER).split()) if text else ()
+    if not words:
+        return [0] * TABLES
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    out = []
+    for salt in _SPREAD:
+        x = hashes + salt
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        votes = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(votes * 2 > x.size, bitorder="little").view("<u8")[0]))
+    return out
+
+
+def copies_of(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
+    """``doc_id, kept_id`` of every document; ``kept_id`` is the least id of its group of near copies.
+
+    Near copies are meant to share at least 0.8 of their five-word shingles.  A
+    shingle fingerprint moves by about ten bits at that similarity, beyond what
+    anchors can cover, so candidates are found on ``TABLES`` fingerprints of the
+    distinct words (at most ``WORD_BITS`` apart in one of them) and kept if their
+    shingle fingerprints are at most ``SHINGLE_BITS`` apart.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in slices(batches):
+            words = np.array([word_fingerprints(x) for x in texts], np.uint64).view(np.int64)
+            check = np.array([fingerprint(x, shingle_words) for x in texts], np.uint64).view(np.int64)
+            yield pa.record_batch([rows.column("doc_id"), pa.array(check), pa.array(list(words), pa.list_(pa.int64()))], names=["doc_id", "check", "words"])
+
+    prints = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(run, "doc_id long, check long, words array<long>")
+    prints = materialise(prints.withColumn("node", F.xxhash64("check", "words")), "prints")
+    distinct = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("check").alias("check"), F.first("words").alias("words")), "distinct")
+    tables = distinct.select("node", "check", F.posexplode("words").alias("table", "fp"))
+    parts = connected_components(links(tables, WORD_BITS, SHINGLE_BITS))
+    least = materialise(distinct.join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "labels")
+    named = least.groupBy("component").agg(F.min("first").alias("kept_id"))
+    return prints.join(least.join(named, "component").select("node", "kept_id"), "node").select("doc_id", "kept_id")
+
+
+def drop_copies(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
+    """``docs`` with the least id of each group of near copies.
+
+    Rows that repeat an id are one document and stay or go together; rows without
+    an id stay.
+    """
+    gone = copies_of(docs, shingle_words).groupBy("doc_id").agg(F.min("kept_id").alias("kept_id")).filter("doc_id <> kept_id").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

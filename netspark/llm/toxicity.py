@@ -173,3 +173,15 @@ def score_documents(docs: DataFrame, model: Toxicity, folds: int = 5, held_fold:
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model: Toxicity, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the documents that reach ``threshold``; all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.bucket, model.bias))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Toxicity(*shared.value)
+        for batch, texts in slices(batches):
+            yield batch.filter(pa.array(model.score(texts) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
