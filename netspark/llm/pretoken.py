@@ -127,14 +127,57 @@ class PieceMemory:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        # Open addressing at most half full: a free place has slot -1.
+        self.bits = 12
+        self._table(self.bits)
+        self.known = np.zeros(0, np.uint64)
         self.offsets = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.int32)
 
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
+    def _table(self, bits: int) -> None:
+        self.bits = bits
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.slots = np.full(1 << bits, -1, np.int32)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Slot of each key, or -1."""
+        place = self._place(keys)
+        out = self.slots[place]
+        todo = np.flatnonzero((out >= 0) & (self.keys[place] != keys))
+        place, mask = place[todo], (1 << self.bits) - 1
+        while todo.size:
+            place = (place + 1) & mask
+            wanted = keys[todo]
+            found = self.slots[place]
+            out[todo] = found
+            on = (found >= 0) & (self.keys[place] != wanted)
+            todo, place = todo[on], place[on]
+        return out
+
+    def _insert(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        """Add distinct keys that are not there."""
+        place, mask = self._place(keys), (1 << self.bits) - 1
+        todo = np.arange(keys.size)
+        while todo.size:
+            free = np.flatnonzero(self.slots[place[todo]] < 0)
+            where, first = np.unique(place[todo[free]], return_index=True)
+            takers = todo[free[first]]
+            self.keys[where], self.slots[where] = keys[takers], slots[takers]
+            todo = todo[self.slots[place[todo]] != slots[todo]]
+            place[todo] = (place[todo] + 1) & mask
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         flat, counts = self.encode_many(pieces)
-        base = len(self.slots)
-        self.slots.update(zip(keys, range(base, base + len(keys)), strict=True))
+        base = self.known.size
+        self.known = np.concatenate((self.known, keys))
+        if 2 * self.known.size > self.slots.size:
+            self._table(int(np.ceil(np.log2(4 * self.known.size))))
+            self._insert(self.known, np.arange(self.known.size, dtype=np.int32))
+        else:
+            self._insert(keys, np.arange(base, self.known.size, dtype=np.int32))
         self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(counts)))
         self.flat = np.concatenate((self.flat, flat))
 
@@ -164,20 +207,20 @@ class PieceMemory:
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         cp, starts = split(joined, sizes)
         keys = _keys(joined, cp, starts)
-        distinct, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.slots) > self.limit:
+        if self.known.size > self.limit:
             self._forget()
-        listed = distinct.tolist()
-        missing = [i for i, key in enumerate(listed) if key not in self.slots]
-        if missing:
-            where = at[missing]
+        slots = self._find(keys)
+        missing = np.flatnonzero(slots < 0)
+        if missing.size:
+            new, at = np.unique(keys[missing], return_index=True)
+            where = missing[at]
             stops = np.append(starts, cp.size)[where + 1]
-            self._learn([listed[i] for i in missing], [joined[a:b] for a, b in zip(starts[where].tolist(), stops.tolist(), strict=True)])
-        slots = np.fromiter(map(self.slots.__getitem__, listed), np.int64, len(listed))
-        begin, count = self.offsets[slots], self.offsets[slots + 1] - self.offsets[slots]
-        counts = count[inverse]
+            self._learn(new, [joined[a:b] for a, b in zip(starts[where].tolist(), stops.tolist(), strict=True)])
+            slots[missing] = self._find(keys[missing])
+        begin = self.offsets[slots]
+        counts = self.offsets[slots + 1] - begin
         ends = np.cumsum(counts)
-        place = np.repeat(begin[inverse] - (ends - counts), counts) + np.arange(ends[-1])
+        place = np.repeat(begin - (ends - counts), counts) + np.arange(ends[-1])
         edges = np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))
         by_piece = np.concatenate(([0], ends))
         return self.flat[place], np.diff(by_piece[edges])
