@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from netspark.plans.workspace import materialise
+
 SEPARATOR = 0x20
 
 
@@ -83,26 +85,31 @@ def bags(texts: list[str], sizes: tuple[int, ...], bits: int, table: np.ndarray,
         yield ids, counts, int(counts.sum())
 
 
-def sample(docs: DataFrame, columns: list[str], strata: str, per_stratum: int, longest: int) -> list:
-    """A bounded sample of rows to fit on: at most ``per_stratum`` rows of each value of ``strata``.
+def candidates(docs: DataFrame, longest: int) -> DataFrame:
+    """``doc_id, mark`` of texts of 1 to ``longest`` characters; the mark is a hash of id and text. No text leaves the scan."""
+    return docs.filter(F.length("text").between(1, longest) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("mark"))
+
+
+def sample(docs: DataFrame, marked: DataFrame, per_label: int) -> tuple[list[str], list]:
+    """Texts and labels of a bounded sample to fit on: at most ``per_label`` documents of each label.
 
-    Rows are taken in the order of a hash of ``doc_id`` and text, among texts of 1
-    to ``longest`` characters, so the sample does not depend on how the table is
-    stored.  The number of strata is the number of label values.
+    ``marked`` holds ``doc_id, mark, label`` rows.  The least marks are taken, so
+    the sample does not depend on how the table is stored; only the chosen ids (a
+    bounded number) are sent to the scan that fetches their texts.  The number of
+    labels is the number of values that can be learned.
     """
-    ready = docs.filter(F.length("text").between(1, longest) & F.col(strata).isNotNull())
-    values = [r[0] for r in ready.select(strata).distinct().collect()]
-    order = F.xxhash64("doc_id", "text")
-    out = []
-    for value in sorted(values):
-        chosen = ready.filter(F.col(strata) == F.lit(value))
-        # A hash threshold first, so that only about the wanted rows are sorted.
-        number = chosen.count()
-        if number > 2 * per_stratum:
-            share = 1.5 * per_stratum / number
-            chosen = chosen.filter(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-        out += chosen.orderBy(order, "doc_id").select(*columns).limit(per_stratum).collect()
-    return out
+    marked = materialise(marked.filter("label is not null"), "marked")
+    chosen = []
+    for row in sorted(marked.select("label").distinct().collect()):
+        chosen += marked.filter(F.col("label") == F.lit(row["label"])).orderBy("mark", "doc_id").limit(per_label).collect()
+    if not chosen:
+        return [], []
+    wanted = {(r["doc_id"], r["mark"]): r["label"] for r in chosen}
+    ids = docs.sparkSession.createDataFrame(list(wanted), "doc_id long, mark long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("mark"), "text")
+    texts = {(r["doc_id"], r["mark"]): r["text"] for r in own.join(F.broadcast(ids), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).collect()}
+    keys = sorted(wanted, key=lambda k: (k[1], k[0]))
+    return [texts[k] for k in keys], [wanted[k] for k in keys]
 
 
 def residue(column, modulus: int):

@@ -109,9 +109,11 @@ def fit(texts: list[str], langs: list[str], rounds: int = 3, alpha: float = 0.5,
 
 def learn(docs: DataFrame, folds: int = 4, held_fold: int = 2) -> Languages | None:
     """Fit on a bounded sample of documents with a language outside the held-out fold."""
-    known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    rows = sample(known.filter(residue(F.col("doc_id"), folds) != held_fold), ["text", "lang"], "lang", PER_LANGUAGE, LONGEST)
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    known = docs.filter(F.col("lang").isNotNull() & (residue(F.col("doc_id").cast("long"), folds) != held_fold))
+    mark = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    ready = known.filter(F.length("text").between(1, LONGEST) & F.col("doc_id").isNotNull())
+    texts, langs = sample(docs, ready.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), F.col("lang").alias("label")), PER_LANGUAGE)
+    return fit(texts, langs)
 
 
 def _named(model: Languages | None, batch: pa.RecordBatch, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from netspark.llm.arrow_text import slices
-from netspark.llm.grams import bags, fold, residue, sample, table_scores
+from netspark.llm.grams import bags, candidates, fold, residue, sample, table_scores
 
 PER_GRADE = 2000
 LONGEST = 10_000
@@ -112,9 +112,9 @@ def rating(quality: Column, toxic: Column) -> Column:
 def learn(docs: DataFrame, ratings: DataFrame, folds: int = 5, held_fold: int = 0) -> Grades:
     """Fit on a bounded sample of ``ratings(doc_id, grade)`` outside the held-out fold."""
     marks = ratings.filter("doc_id is not null and grade is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")).groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(marks.filter(residue(F.col("doc_id"), folds) != held_fold), "doc_id")
-    rows = sample(known, ["text", "grade"], "grade", PER_GRADE, LONGEST)
-    return fit([r["text"] for r in rows], np.array([r["grade"] for r in rows], np.int64))
+    rated = marks.filter(residue(F.col("doc_id"), folds) != held_fold).withColumnRenamed("grade", "label")
+    texts, grades = sample(docs, candidates(docs, LONGEST).join(rated, "doc_id"), PER_GRADE)
+    return fit(texts, np.array(grades, np.int64))
 
 
 def grade_documents(docs: DataFrame, model: Grades, folds: int = 5, held_fold: int = 0) -> DataFrame:

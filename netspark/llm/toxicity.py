@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from netspark.llm.arrow_text import slices
-from netspark.llm.grams import SEPARATOR, buckets, fold, residue, sample, stream
+from netspark.llm.grams import SEPARATOR, buckets, candidates, fold, residue, sample, stream
 
-PER_LABEL = 4000
-LONGEST = 10_000
+PER_LABEL = 2500
+LONGEST = 8_000
 BITS = 16
 SIZES = (3, 4, 5, 6)
 WORDS = 16
@@ -155,9 +155,9 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0
     """Fit on a bounded sample of labelled documents outside the held-out fold."""
     marks = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.filter(residue(F.col("doc_id"), folds) != held_fold)
-    known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(marks, "doc_id")
-    rows = sample(known, ["text", "toxic"], "toxic", PER_LABEL, LONGEST)
-    return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64))
+    marked = candidates(docs, LONGEST).join(marks.withColumnRenamed("toxic", "label"), "doc_id")
+    texts, toxic = sample(docs, marked, PER_LABEL)
+    return fit(texts, np.array(toxic, np.int64))
 
 
 def score_documents(docs: DataFrame, model: Toxicity, folds: int = 5, held_fold: int = 0) -> DataFrame:
