@@ -118,12 +118,39 @@ def test_anchors_meet_every_pair_two_bits_apart():
         assert first & second and len(first) <= 17
 
 
+def test_copies_are_the_groups_of_similar_shingle_sets(spark, odd):
+    rng = np.random.default_rng(9)
+    vocabulary = [f"word{i}" for i in range(5000)]
+    texts = []
+    for size in (30, 120, 700):
+        for _ in range(6):
+            base = rng.choice(vocabulary, size).tolist()
+            texts.append(" ".join(base))
+            for edits in (1, max(1, size // 100), max(2, size // 45), size // 20, size // 8):
+                other = list(base)
+                for place in rng.choice(size, edits, replace=False).tolist():
+                    other[place] = "changed"
+                texts.append(" ".join(other))
+    rows = [(i * 7 % 997, t, "en", "s", 1, "f", 1, 2) for i, t in enumerate(texts + texts[:9])]
+    docs = spark.createDataFrame(rows, SCHEMA).union(odd.filter("doc_id is not null").withColumn("doc_id", odd["doc_id"] + 5000))
+    held = [(r["doc_id"], set(simhash.shingle_hashes(r["text"], 5).tolist())) for r in docs.collect()]
+    group = list(range(len(held)))
+    for i in range(len(held)):
+        for j in range(i):
+            a, b = held[i][1], held[j][1]
+            if (a == b or len(a & b) >= 0.8 * len(a | b)) and group[i] != group[j]:
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    least = {g: min(i for h, (i, _) in zip(group, held) if h == g) for g in set(group)}
+    wanted = sorted((i, least[g]) for g, (i, _) in zip(group, held))
+    assert sorted(map(tuple, simhash.copies_of(docs).collect())) == wanted
+
+
 def test_crowded_anchor_is_dealt_into_cells(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CROWD", 8)
-    rows = [(0, 1 << i, 1 << i, 0) for i in range(40)]
-    found = simhash.links(spark.createDataFrame(rows, "table int, fp long, node long, check long"), 4).collect()
+    rows = [(0, 1 << i, 1 << i) for i in range(40)]
+    found = simhash.links(spark.createDataFrame(rows, "table int, fp long, node long"), 4).collect()
     group = {r[1]: r[1] for r in rows}
-    for u, v in found:
+    for u, v, _ in found:
         old, new = group[u], group[v]
         group = {k: new if g == old else g for k, g in group.items()}
     assert len(set(group.values())) == 1
