@@ -375,4 +375,5 @@ def drop_copies(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     an id stay.
     """
     gone = copies_of(docs, shingle_words).groupBy("doc_id").agg(F.min("kept_id").alias("kept_id")).filter("doc_id <> kept_id").select(F.col("doc_id").alias("__gone"))
+    gone = materialise(gone, "gone")  # its size is then known: if small it is broadcast and no text is shuffled
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
