@@ -11,9 +11,9 @@ at an anchor.  There the whole fingerprints are compared.
 
 Only distinct fingerprints are replicated.  At an anchor a spanning forest
 of the links is emitted, never all pairs.  An anchor with more than
-``CROWD`` fingerprints is dealt into cells, one for each pair of chunks, so no
-task ever compares more than about ``CROWD`` rows with each other and still every
-pair of the anchor meets.  Components of the links are found by star contraction.
+``CROWD`` fingerprints (estimated on a sample of nodes) is dealt into cells, one
+for each pair of chunks, so no task compares many more than ``CROWD`` rows with
+each other and still every pair of the anchor meets.  Components of the links are found by star contraction.
 
 Defined results: a null or empty text, or one of white space, has fingerprint
 zero and is linked like any other; a text of fewer words than a shingle is one
@@ -200,7 +200,11 @@ def links(prints: DataFrame, bits: int = 4, sketch: tuple[str, ...] = (), sure:
     payload = sketch or ("node",)
     names = ("anchor", "fp", *payload)
     copies = replicas(prints, payload)
-    crowded = copies.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD)
+    # Sizes are estimated on one node in ``rate``, so that counting does not shuffle every
+    # replica.  They only decide how an anchor is dealt out, never which pairs meet.
+    rate = max(1, CROWD // 64)
+    some = prints.filter(F.pmod(F.xxhash64(F.lit("crowd"), *payload), F.lit(rate)) == 0)
+    crowded = replicas(some, payload).groupBy("anchor").agg((F.count("*") * rate).alias("n")).filter(F.col("n") > CROWD)
     crowded = materialise(crowded.select("anchor", F.ceil(F.col("n") * 2 / CROWD).cast("int").alias("chunks")), "crowded")
     if not crowded.isEmpty():
         held = copies.join(crowded, "anchor", "left")
