@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from netspark.llm.arrow_text import slices
+from netspark.llm.arrow_text import hand_back, slices
 from netspark.operators.components import connected_components
 from netspark.plans.workspace import materialise
 
@@ -229,6 +229,7 @@ def links(prints: DataFrame, bits: int = 4, sketch: tuple[str, ...] = (), sure:
             yield found([x[:cut] for x in kept])
             kept = [x[cut:] for x in kept]
         yield found(kept)
+        hand_back()
 
     return copies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "u long, v long, apart long")
 
