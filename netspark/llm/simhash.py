@@ -24,7 +24,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -187,39 +187,31 @@ def _links(anchor: np.ndarray, fps: np.ndarray, load: np.ndarray, bits: int, sur
     return np.array(out, np.int64).reshape(-1, 3)
 
 
-def links(prints: DataFrame, bits: int = 4, sketch: tuple[str, ...] = (), sure: int = 0, reach: int = 0) -> DataFrame:
-    """``u, v, apart``: enough of the linked pairs of nodes to connect all of them.
+def _deal(copies: DataFrame, some: DataFrame, rate: int) -> DataFrame:
+    """``copies(anchor, node, ...)`` with every anchor of over ``CROWD`` rows dealt into cells where each of its pairs meets.
 
-    ``prints(table, fp, ...)``: without a sketch, nodes are the column ``node`` and
-    two are linked if their fingerprints in some table are at most ``bits`` apart.
-    With ``sketch`` columns, a node is ``node_of`` its sketch, and linked pairs must
-    also have sketches at most ``reach`` bits apart; see ``_forest``.
+    Sizes are estimated on ``some``, the rows of one node in ``rate``, so that counting does not
+    shuffle every replica.  They only decide how an anchor is dealt out, never which pairs meet.
     """
-    if not 0 <= bits <= 5:
-        raise ValueError("the anchors cover at most 5 differing bits")
-    payload = sketch or ("node",)
-    names = ("anchor", "fp", *payload)
-    copies = replicas(prints, payload)
-    # Sizes are estimated on one node in ``rate``, so that counting does not shuffle every
-    # replica.  They only decide how an anchor is dealt out, never which pairs meet.
-    rate = max(1, CROWD // 64)
-    some = prints.filter(F.pmod(F.xxhash64(F.lit("crowd"), *payload), F.lit(rate)) == 0)
-    crowded = replicas(some, payload).groupBy("anchor").agg((F.count("*") * rate).alias("n")).filter(F.col("n") > CROWD)
+    crowded = some.groupBy("anchor").agg((F.count("*") * rate).alias("n")).filter(F.col("n") > CROWD)
     crowded = materialise(crowded.select("anchor", F.ceil(F.col("n") * 2 / CROWD).cast("int").alias("chunks")), "crowded")
-    if not crowded.isEmpty():
-        held = copies.join(crowded, "anchor", "left")
-        own = F.pmod(F.xxhash64(*payload), F.col("chunks")).cast("int")
-        cells = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda x: F.least(own, x) * F.col("chunks") + F.greatest(own, x))
-        dealt = held.withColumn("cell", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(cells)))
-        copies = dealt.select(F.xxhash64("anchor", "cell").alias("anchor"), "fp", *payload)
+    if crowded.isEmpty():
+        return copies
+    held = copies.join(crowded, "anchor", "left")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda x: F.least(own, x) * F.col("chunks") + F.greatest(own, x))
+    dealt = held.withColumn("cell", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(cells)))
+    return dealt.select(F.xxhash64("anchor", "cell").alias("anchor"), *(c for c in copies.columns if c != "anchor"))
 
-    def found(rows: list[np.ndarray]) -> pa.RecordBatch:
-        anchor, fps, *load = rows
-        plain = np.stack(load, axis=1).view(np.uint64)
-        # Without a sketch every pair within reach of the fingerprints is sure.
-        edges = _links(anchor, fps.view(np.uint64), plain if sketch else plain[:, :0], bits, sure, reach) if anchor.size else np.zeros((0, 3), np.int64)
-        nodes = node_of(plain) if sketch else load[0]
-        return pa.record_batch([pa.array(nodes[edges[:, 0]]), pa.array(nodes[edges[:, 1]]), pa.array(edges[:, 2])], names=["u", "v", "apart"])
+
+def _one_in(prints: DataFrame, rate: int) -> DataFrame:
+    """The rows of one node in ``rate``."""
+    return prints.filter(F.pmod(F.xxhash64(F.lit("crowd"), "node"), F.lit(rate)) == 0)
+
+
+def _by_anchor(copies: DataFrame, found: Callable[[list[np.ndarray]], pa.RecordBatch]) -> DataFrame:
+    """``u, v, apart`` that ``found`` makes of the columns of whole runs of equal anchors."""
+    names = copies.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, np.int64)] * len(names)
@@ -234,6 +226,28 @@ def links(prints: DataFrame, bits: int = 4, sketch: tuple[str, ...] = (), sure:
     return copies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "u long, v long, apart long")
 
 
+def _edges(nodes: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(nodes[edges[:, 0]]), pa.array(nodes[edges[:, 1]]), pa.array(edges[:, 2])], names=["u", "v", "apart"])
+
+
+def links(prints: DataFrame, bits: int = 4) -> DataFrame:
+    """``u, v, apart``: enough of the linked pairs of ``prints(table, fp, node)`` to connect all of them.
+
+    Two nodes are linked if their fingerprints in some table are at most ``bits`` apart.
+    """
+    if not 0 <= bits <= 5:
+        raise ValueError("the anchors cover at most 5 differing bits")
+    rate = max(1, CROWD // 64)
+    copies = _deal(replicas(prints, ("node",)), replicas(_one_in(prints, rate), ("node",)), rate)
+
+    def found(rows: list[np.ndarray]) -> pa.RecordBatch:
+        anchor, fps, nodes = rows
+        # Without a sketch every pair within reach of the fingerprints is sure.
+        return _edges(nodes, _links(anchor, fps.view(np.uint64), np.zeros((nodes.size, 0), np.uint64), bits, 0, 0) if anchor.size else np.zeros((0, 3), np.int64))
+
+    return _by_anchor(copies, found)
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, bits: int = 4) -> DataFrame:
     """One row a document: ``doc_id, fingerprint`` (16 hex digits) and ``component_id``."""
     prints = materialise(fingerprints(docs, shingle_words), "prints")
@@ -248,9 +262,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, bits: int = 4) -> D
 
 # --- copies at a shingle similarity -------------------------------------------
 
-TABLES = 4
-WORD_BITS = 5
 SIMILAR = 0.8
+#: A candidate shares all BAND least hashes of one of BANDS bands, which texts of similarity j do
+#: with a chance of 1 - (1 - j ** BAND) ** BANDS, wherever they differ: at 0.8 all but 5 in 10 ** 8.
+BANDS, BAND = 32, 4
 #: A sketch has one bit of the least hash of each of so many permutations; texts of
 #: similarity j differ in (1 - j) / 2 of them.  At 0.8 that is 19.2 +- 4.2 bits of 192.
 SKETCH_BITS = 192
@@ -266,20 +281,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 _STEP = 0x9E3779B97F4A7C15
-_SPREAD = [np.uint64(i * _STEP & 0xFFFFFFFFFFFFFFFF) for i in range(TABLES)]
 _FACTORS = _mix(np.arange(1, SKETCH_BITS + 1, dtype=np.uint64) * np.uint64(_STEP)) | np.uint64(1)
 
 
-def sketch_of(hashes: np.ndarray) -> np.ndarray:
-    """The one-bit min-hash sketch of a set of hashes, as three words; zero for the empty set."""
-    if not hashes.size:
-        return np.zeros(len(SKETCH), np.uint64)
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least value of a set of hashes under each permutation."""
     least = np.full(SKETCH_BITS, np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, hashes.size, 512):
         np.minimum(least, (_FACTORS[:, None] * hashes[None, a : a + 512]).min(axis=1), out=least)
+    return least
+
+
+def sketch_of(least: np.ndarray) -> np.ndarray:
+    """The one-bit min-hash sketch of the least hashes, as three words."""
     return np.packbits((least >> np.uint64(30)).astype(np.uint8) & 1, bitorder="little").view("<u8")
 
 
+def bands_of(least: np.ndarray) -> np.ndarray:
+    """One long a band of the least hashes; each band has its own."""
+    x = np.arange(BANDS, dtype=np.uint64)
+    for part in least[: BANDS * BAND].reshape(BANDS, BAND).T:
+        x = _mix((x ^ part) + np.uint64(_STEP))
+    return x.view(np.int64)
+
+
 def node_of(sketches: np.ndarray) -> np.ndarray:
     """One long for each row of sketch words; texts of one sketch are one node."""
     x = np.zeros(len(sketches), np.uint64)
@@ -288,18 +313,50 @@ def node_of(sketches: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def word_fingerprints(text: str | None) -> list[int]:
-    """One fingerprint a table over a text's distinct words, which few edits move by few bits."""
-    words = set(text.encode("utf-8", "surrogatepass").translate(_LOWER).split()) if text else ()
-    if not words:
-        return [0] * TABLES
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+def _band_links(anchor: np.ndarray, load: np.ndarray, sure: int, reach: int) -> np.ndarray:
+    """Links of whole runs of equal anchors, as ``_links``, of sketches alone."""
+    edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True])))
+    sizes, begin = np.diff(edge), edge[:-1]
+    hit = sizes > 32
+    # Compare rows one, two, ... places apart within their run, for all short runs at once.
+    left = np.repeat(np.where(hit, 0, sizes), sizes) - (np.arange(anchor.size) - np.repeat(begin, sizes))
+    owner = np.repeat(np.arange(sizes.size), sizes)
     out = []
-    for salt in _SPREAD:
-        x = _mix(hashes + salt)
-        votes = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(votes * 2 > x.size, bitorder="little").view("<u8")[0]))
-    return out
+    at = np.flatnonzero(left > 1)
+    lag = 1
+    while at.size:
+        gap = np.bitwise_count(load[at] ^ load[at + lag]).sum(axis=1, dtype=np.int64)
+        near = at[gap <= reach]
+        lone = sizes[owner[near]] == 2
+        out.append(np.stack((near, near + lag, gap[gap <= reach]), axis=1)[lone])
+        hit[owner[near[~lone]]] = True
+        lag += 1
+        at = at[left[at] > lag]
+    for run in np.flatnonzero(hit).tolist():
+        here = slice(begin[run], begin[run] + sizes[run])
+        found = _forest(np.zeros(sizes[run], np.uint64), load[here], 0, sure, reach)
+        out.append(np.array(found, np.int64).reshape(-1, 3) + (begin[run], begin[run], 0))
+    return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+
+
+def _banded(prints: DataFrame, *more: str) -> DataFrame:
+    """``anchor, node``, the sketch and ``more`` for every band of ``prints``, crowded anchors dealt out."""
+
+    def spread(rows: DataFrame) -> DataFrame:
+        return rows.select(F.explode("bands").alias("anchor"), "node", *SKETCH, *more)
+
+    rate = max(1, CROWD // 64)
+    return _deal(spread(prints), spread(_one_in(prints, rate)), rate)
+
+
+def band_links(prints: DataFrame) -> DataFrame:
+    """``u, v, apart``: at each band of ``prints(node, sketch, bands)`` a forest of the links of sketches at most ``REACH`` apart."""
+
+    def found(rows: list[np.ndarray]) -> pa.RecordBatch:
+        anchor, nodes, *load = rows
+        return _edges(nodes, _band_links(anchor, np.stack(load, axis=1).view(np.uint64), SURE, REACH) if anchor.size else np.zeros((0, 3), np.int64))
+
+    return _by_anchor(_banded(prints), found)
 
 
 def shingle_sets(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
@@ -328,10 +385,9 @@ def _similar(pairs: DataFrame, docs: DataFrame, least: DataFrame, shingle_words:
 def copies_of(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     """``doc_id, kept_id`` of every document; ``kept_id`` is the least id of its group of near copies.
 
-    Near copies share at least ``SIMILAR`` of their distinct five-word shingles.  A
-    shingle fingerprint moves by about ten bits at that similarity, beyond what
-    anchors can cover, so candidates are found on ``TABLES`` fingerprints of the
-    distinct words (at most ``WORD_BITS`` apart in one of them).  At an anchor the
+    Near copies share at least ``SIMILAR`` of their distinct five-word shingles.
+    Candidates share a band of least hashes of their shingles, so it does not matter
+    whether the edits are scattered or in a block.  At a band the
     forest of least sketch distance is taken, whose links connect what all links
     would, so far as the sketches order them rightly.  Links of sketches more than
     ``SURE`` bits apart count only if the whole texts' shingle sets bear them out:
@@ -341,16 +397,16 @@ def copies_of(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches):
-            words = np.array([word_fingerprints(x) for x in texts], np.uint64).view(np.int64)
-            sketches = np.array([sketch_of(np.unique(shingle_hashes(x, shingle_words))) for x in texts], np.uint64)
-            columns = [rows.column("doc_id"), pa.array(node_of(sketches)), *map(pa.array, np.ascontiguousarray(sketches.T).view(np.int64)), pa.array(list(words), pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, names=["doc_id", "node", *SKETCH, "words"])
+            least = [least_hashes(np.unique(shingle_hashes(x, shingle_words))) for x in texts]
+            sketches = np.array([sketch_of(x) for x in least], np.uint64)
+            columns = [rows.column("doc_id"), pa.array(node_of(sketches)), *map(pa.array, np.ascontiguousarray(sketches.T).view(np.int64)), pa.array([bands_of(x) for x in least], pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["doc_id", "node", *SKETCH, "bands"])
 
     prints = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    prints = materialise(prints.mapInArrow(run, f"doc_id long, node long, {', '.join(f'{c} long' for c in SKETCH)}, words array<long>"), "prints")
+    prints = materialise(prints.mapInArrow(run, f"doc_id long, node long, {', '.join(f'{c} long' for c in SKETCH)}, bands array<long>"), "prints")
     least = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("first")), "least")
-    tables = prints.select(*SKETCH, "words").distinct().select(*SKETCH, F.posexplode("words").alias("table", "fp"))
-    found = links(tables, WORD_BITS, SKETCH, SURE, REACH).filter("u <> v")
+    nodes = materialise(prints.drop("doc_id").dropDuplicates(["node"]), "nodes")
+    found = band_links(nodes).filter("u <> v")
     found = materialise(found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("apart").alias("apart")), "found")
     sure, open_links = found.filter(F.col("apart") <= SURE).select("u", "v"), found.filter(F.col("apart") > SURE)
 

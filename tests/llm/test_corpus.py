@@ -145,6 +145,38 @@ def test_copies_are_the_groups_of_similar_shingle_sets(spark, odd):
     assert sorted(map(tuple, simhash.copies_of(docs).collect())) == wanted
 
 
+def _copies_by_brute_force(docs):
+    held = [(i, set(simhash.shingle_hashes(t, 5).tolist())) for i, t in docs]
+    group = list(range(len(held)))
+    for i in range(len(held)):
+        for j in range(i):
+            a, b = held[i][1], held[j][1]
+            if group[i] != group[j] and (a == b or len(a & b) >= 0.8 * len(a | b)):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    least = {g: min(i for h, (i, _) in zip(group, held) if h == g) for g in set(group)}
+    return sorted((i, least[g]) for g, (i, _) in zip(group, held))
+
+
+def test_cut_and_extended_copies_are_found(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for size in (60, 200, 900):
+        for _ in range(8):
+            words, other = (rng.choice(8000, size).astype(str).tolist() for _ in range(2))
+            rows.append(words)
+            # Alone each in its pair: a cut tail, a cut head, another text behind or inside, at 0.82 to 0.9.
+            for part in (0.83, 0.9):
+                for kind in range(4):
+                    words = rng.choice(8000, size).astype(str).tolist()
+                    cut, half = int(size * part) + 1, size // 2
+                    more = other[: int(size * (1 / part - 1)) - 4]
+                    rows += [words, (words[:cut], words[-cut:], words + more, words[:half] + more + words[half:])[kind]]
+    docs = [(i, " ".join(words)) for i, words in enumerate(rows)]
+    wanted = _copies_by_brute_force(docs)
+    assert sum(i != kept for i, kept in wanted) > 150
+    assert sorted(map(tuple, simhash.copies_of(spark.createDataFrame(docs, "doc_id long, text string")).collect())) == wanted
+
+
 def test_crowded_anchor_is_dealt_into_cells(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CROWD", 8)
     rows = [(0, 1 << i, 1 << i) for i in range(40)]
