@@ -177,6 +177,15 @@ def test_cut_and_extended_copies_are_found(spark):
     assert sorted(map(tuple, simhash.copies_of(spark.createDataFrame(docs, "doc_id long, text string")).collect())) == wanted
 
 
+def test_copies_with_distant_sketches_are_found(spark):
+    docs = []
+    for seed in (35, 115, 170, 389, 493):  # similarity 0.8, sketches 28 to 34 of 192 bits apart
+        words = np.random.default_rng(seed).choice(8000, 46).astype(str).tolist()
+        docs += [(len(docs), " ".join(words[:44])), (len(docs) + 1, " ".join(words[:36]))]
+    found = simhash.copies_of(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == [(i, i // 2 * 2) for i in range(len(docs))]
+
+
 def test_crowded_anchor_is_dealt_into_cells(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CROWD", 8)
     rows = [(0, 1 << i, 1 << i) for i in range(40)]
