@@ -25,6 +25,7 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -209,7 +210,7 @@ def _one_in(prints: DataFrame, rate: int) -> DataFrame:
     return prints.filter(F.pmod(F.xxhash64(F.lit("crowd"), "node"), F.lit(rate)) == 0)
 
 
-def _by_anchor(copies: DataFrame, found: Callable[[list[np.ndarray]], pa.RecordBatch]) -> DataFrame:
+def _by_anchor(copies: DataFrame, found: Callable[[list[np.ndarray]], Iterable[pa.RecordBatch]]) -> DataFrame:
     """``u, v, apart`` that ``found`` makes of the columns of whole runs of equal anchors."""
     names = copies.columns
 
@@ -218,9 +219,9 @@ def _by_anchor(copies: DataFrame, found: Callable[[list[np.ndarray]], pa.RecordB
         for batch in batches:
             kept = [np.concatenate((old, batch.column(c).to_numpy(zero_copy_only=False))) for old, c in zip(kept, names, strict=True)]
             cut = int(np.searchsorted(kept[0], kept[0][-1])) if kept[0].size else 0  # the last run may go on
-            yield found([x[:cut] for x in kept])
+            yield from found([x[:cut] for x in kept])
             kept = [x[cut:] for x in kept]
-        yield found(kept)
+        yield from found(kept)
         hand_back()
 
     return copies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "u long, v long, apart long")
@@ -240,10 +241,10 @@ def links(prints: DataFrame, bits: int = 4) -> DataFrame:
     rate = max(1, CROWD // 64)
     copies = _deal(replicas(prints, ("node",)), replicas(_one_in(prints, rate), ("node",)), rate)
 
-    def found(rows: list[np.ndarray]) -> pa.RecordBatch:
+    def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         anchor, fps, nodes = rows
         # Without a sketch every pair within reach of the fingerprints is sure.
-        return _edges(nodes, _links(anchor, fps.view(np.uint64), np.zeros((nodes.size, 0), np.uint64), bits, 0, 0) if anchor.size else np.zeros((0, 3), np.int64))
+        yield _edges(nodes, _links(anchor, fps.view(np.uint64), np.zeros((nodes.size, 0), np.uint64), bits, 0, 0) if anchor.size else np.zeros((0, 3), np.int64))
 
     return _by_anchor(copies, found)
 
@@ -273,6 +274,8 @@ SKETCH = ("s0", "s1", "s2")
 #: Sketches at most SURE apart need no exact check; those over REACH apart are not looked at,
 #: which loses 4 pairs in 10 ** 7 at exactly 0.8.
 SURE, REACH = 6, 42
+#: Where candidates between groups are tried in turn: sketches up to these many bits apart, then all.
+STEPS = (24,)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -353,13 +356,43 @@ def _banded(prints: DataFrame, *more: str) -> DataFrame:
 def band_links(prints: DataFrame) -> DataFrame:
     """``u, v, apart``: at each band of ``prints(node, sketch, bands)`` a forest of the links of sketches at most ``REACH`` apart."""
 
-    def found(rows: list[np.ndarray]) -> pa.RecordBatch:
+    def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         anchor, nodes, *load = rows
-        return _edges(nodes, _band_links(anchor, np.stack(load, axis=1).view(np.uint64), SURE, REACH) if anchor.size else np.zeros((0, 3), np.int64))
+        yield _edges(nodes, _band_links(anchor, np.stack(load, axis=1).view(np.uint64), SURE, REACH) if anchor.size else np.zeros((0, 3), np.int64))
 
     return _by_anchor(_banded(prints), found)
 
 
+def _across(anchor: np.ndarray, group: np.ndarray, load: np.ndarray, low: int, high: int) -> Iterator[np.ndarray]:
+    """All pairs of different groups at one anchor whose sketches are over ``low`` and at most ``high`` apart, some at a time."""
+    edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True])))
+    held, number = [np.zeros((0, 3), np.int64)], 0
+    for begin, end in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if end - begin < 2 or (group[begin:end] == group[begin]).all():
+            continue
+        for at in range(begin, end - 1):
+            other = np.flatnonzero(group[at + 1 : end] != group[at]) + at + 1
+            gap = _apart(load[at], load[other])
+            near = (gap > low) & (gap <= high)
+            held.append(np.stack((np.full(near.sum(), at), other[near], gap[near]), axis=1))
+            number += len(held[-1])
+            if number > 1 << 16:
+                yield np.concatenate(held)
+                held, number = [np.zeros((0, 3), np.int64)], 0
+    yield np.concatenate(held)
+
+
+def links_across(prints: DataFrame, low: int, high: int) -> DataFrame:
+    """``u, v, apart``: every pair of ``prints(node, sketch, bands, group)`` that shares a band but not its group, of sketches over ``low`` and at most ``high`` apart."""
+
+    def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        anchor, nodes, *load, group = rows
+        if anchor.size:
+            yield from (_edges(nodes, pairs) for pairs in _across(anchor, group, np.stack(load, axis=1).view(np.uint64), low, high))
+
+    return _by_anchor(_banded(prints, "group"), found)
+
+
 def shingle_sets(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     """``node, shingles``: the distinct word shingles of ``docs(node, text)``, as 32-bit hashes."""
 
@@ -371,18 +404,24 @@ def shingle_sets(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, shingles array<int>")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, least: DataFrame, shingle_words: int, label: str) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs ``u, v`` of nodes whose texts share at least ``SIMILAR`` of their shingles."""
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    # Written, so that its size is known: a small table is broadcast and then no text is shuffled.
-    ends = materialise(least.join(ends, "node", "left_semi"), f"{label}_ends")
-    texts = docs.select(docs["doc_id"].cast("long").alias("first"), "text").join(ends, "first")
-    sets = materialise(shingle_sets(texts, shingle_words).dropDuplicates(["node"]), f"{label}_sets")
     left, right = sets.toDF("u", "a"), sets.toDF("v", "b")
     both = F.size(F.array_intersect("a", "b"))
     return pairs.join(left, "u").join(right, "v").filter(both >= F.lit(SIMILAR) * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
+def _parted(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs ``u, v`` of nodes of different ``groups(node, group)``, with their groups ``gu, gv``."""
+    return pairs.join(groups.toDF("u", "gu"), "u").join(groups.toDF("v", "gv"), "v").filter("gu <> gv")
+
+
+def _merged(groups: DataFrame, held: DataFrame) -> DataFrame:
+    """``groups(node, group)`` after the links ``held(u, v)``."""
+    parts = connected_components(_parted(held, groups).select(F.col("gu").alias("u"), F.col("gv").alias("v")))
+    return materialise(groups.join(parts.toDF("group", "wider"), "group", "left").select("node", F.coalesce("wider", "group").alias("group")), "groups")
+
+
 def copies_of(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     """``doc_id, kept_id`` of every document; ``kept_id`` is the least id of its group of near copies.
 
@@ -393,7 +432,8 @@ def copies_of(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     would, so far as the sketches order them rightly.  Links of sketches more than
     ``SURE`` bits apart count only if the whole texts' shingle sets bear them out:
     first the nearest link of every node without a sure one, then every link
-    between different groups.  Rows that repeat an id are one document.
+    between different groups, then every other candidate between groups that a
+    refuted link parts.  Rows that repeat an id are one document.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,22 +449,38 @@ def copies_of(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     nodes = materialise(prints.drop("doc_id").dropDuplicates(["node"]), "nodes")
     found = band_links(nodes).filter("u <> v")
     found = materialise(found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("apart").alias("apart")), "found")
-    sure, open_links = found.filter(F.col("apart") <= SURE).select("u", "v"), found.filter(F.col("apart") > SURE)
+    ends = materialise(found.select(F.col("u").alias("node")).union(found.select(F.col("v").alias("node"))).distinct(), "ends")
+    # Written, so that its size is known: a small table is broadcast and then no text is shuffled.
+    firsts = materialise(least.join(ends, "node", "left_semi"), "firsts")
+    texts = docs.select(docs["doc_id"].cast("long").alias("first"), "text").join(firsts, "first")
+    sets = materialise(shingle_sets(texts, shingle_words).dropDuplicates(["node"]), "sets")
 
     # The nearest link of each node; a node with a sure one waits.
     either = found.select("u", "v", "apart", F.col("u").alias("node")).union(found.select("u", "v", "apart", F.col("v").alias("node")))
     nearest = either.groupBy("node").agg(F.min_by(F.struct("u", "v", "apart"), F.struct("apart", "u", "v")).alias("link")).select("link.*")
-    nearest = nearest.filter(F.col("apart") > SURE).select("u", "v").distinct()
-    held = materialise(sure.union(_similar(nearest, docs, least, shingle_words, "nearest")), "held")
-    groups = materialise(connected_components(held), "groups")
-
-    across = open_links.join(groups.toDF("u", "cu"), "u", "left").join(groups.toDF("v", "cv"), "v", "left")
-    across = across.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v").join(nearest, ["u", "v"], "left_anti")
-    across = materialise(across, "across")
-    more = _similar(across, docs, least, shingle_words, "across").join(groups.toDF("u", "cu"), "u", "left").join(groups.toDF("v", "cv"), "v", "left")
-    joined = connected_components(more.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
-    grouped = least.join(groups, "node", "left").select("node", "first", F.coalesce("component", "node").alias("group"))
-    grouped = grouped.join(joined.toDF("group", "wider"), "group", "left").select("node", "first", F.coalesce("wider", "group").alias("group"))
+    nearest = materialise(nearest.filter(F.col("apart") > SURE).select("u", "v").distinct(), "nearest")
+    sure = found.filter(F.col("apart") <= SURE).select("u", "v")
+    groups = _merged(ends.select("node", F.col("node").alias("group")), materialise(sure.union(_similar(nearest, sets)), "held"))
+
+    across = _parted(found, groups).select("u", "v").join(nearest, ["u", "v"], "left_anti")
+    groups = _merged(groups, materialise(_similar(materialise(across, "across"), sets), "held"))
+
+    # A forest leaves links out.  Where one of its links is refuted, every other candidate between the
+    # groups is tried, the nearer ones first.  Such a candidate's ends are joined in a forest by a path
+    # with a refuted link, so both are of groups that have one.
+    tried = found.select("u", "v")
+    for low, high in pairwise((-1, *STEPS, REACH)):
+        apart = _parted(found, groups)
+        refuted = materialise(apart.select(F.col("gu").alias("group")).union(apart.select(F.col("gv").alias("group"))).distinct(), "refuted")
+        if refuted.isEmpty():
+            break
+        offered = links_across(nodes.join(groups.join(refuted, "group", "left_semi"), "node"), low, high)
+        offered = offered.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
+        held = materialise(_similar(materialise(offered, "offered"), sets), "held")
+        if not held.isEmpty():
+            groups = _merged(groups, held)
+
+    grouped = least.join(groups, "node", "left").select("node", "first", F.coalesce("group", "node").alias("group"))
     grouped = materialise(grouped, "labels")
     named = grouped.groupBy("group").agg(F.min("first").alias("kept_id"))
     return prints.select("doc_id", "node").join(grouped.join(named, "group").select("node", "kept_id"), "node").select("doc_id", "kept_id")

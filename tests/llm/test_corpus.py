@@ -186,6 +186,22 @@ def test_copies_with_distant_sketches_are_found(spark):
     assert sorted(map(tuple, found)) == [(i, i // 2 * 2) for i in range(len(docs))]
 
 
+def test_links_left_out_for_a_refuted_one_are_tried(spark):
+    docs = []
+    for seed in (247, 284, 504):  # families in which forests of least sketch distance leave out a link that joins groups
+        rng = np.random.default_rng(seed)
+        base = rng.choice(8000, 30).astype(str).tolist()
+        docs.append((len(docs), " ".join(base)))
+        for _ in range(7):
+            words, cut, head = list(base), int(rng.integers(0, 6)), rng.integers(0, 2)
+            if cut:
+                words = words[cut:] if head else words[:-cut]
+            more = [f"e{rng.integers(1e6)}" for _ in range(int(rng.integers(0, 4)))]
+            docs.append((len(docs), " ".join(words + more)))
+    found = simhash.copies_of(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == _copies_by_brute_force(docs)
+
+
 def test_crowded_anchor_is_dealt_into_cells(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CROWD", 8)
     rows = [(0, 1 << i, 1 << i) for i in range(40)]
