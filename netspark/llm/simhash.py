@@ -271,9 +271,9 @@ BANDS, BAND = 32, 4
 #: similarity j differ in (1 - j) / 2 of them.  At 0.8 that is 19.2 +- 4.2 bits of 192.
 SKETCH_BITS = 192
 SKETCH = ("s0", "s1", "s2")
-#: Sketches at most SURE apart need no exact check; those over REACH apart are not looked at,
-#: which loses 4 pairs in 10 ** 7 at exactly 0.8.
-SURE, REACH = 6, 42
+#: Sketches over REACH apart are not looked at, which loses 4 pairs in 10 ** 7 at exactly 0.8.
+#: A forest takes those at most CLOSE apart as it meets them.
+CLOSE, REACH = 6, 42
 #: Where candidates between groups are tried in turn: sketches up to these many bits apart, then all.
 STEPS = (24,)
 
@@ -309,12 +309,9 @@ def bands_of(least: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def node_of(sketches: np.ndarray) -> np.ndarray:
-    """One long for each row of sketch words; texts of one sketch are one node."""
-    x = np.zeros(len(sketches), np.uint64)
-    for word in sketches.T:
-        x = _mix((x ^ word) + np.uint64(_STEP))
-    return x.view(np.int64)
+def node_of(hashes: np.ndarray) -> int:
+    """One long for a set of hashes in ascending order: texts of one set are one node."""
+    return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED) - (1 << 63)
 
 
 def _band_links(anchor: np.ndarray, load: np.ndarray, sure: int, reach: int) -> np.ndarray:
@@ -358,7 +355,7 @@ def band_links(prints: DataFrame) -> DataFrame:
 
     def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         anchor, nodes, *load = rows
-        yield _edges(nodes, _band_links(anchor, np.stack(load, axis=1).view(np.uint64), SURE, REACH) if anchor.size else np.zeros((0, 3), np.int64))
+        yield _edges(nodes, _band_links(anchor, np.stack(load, axis=1).view(np.uint64), CLOSE, REACH) if anchor.size else np.zeros((0, 3), np.int64))
 
     return _by_anchor(_banded(prints), found)
 
@@ -394,12 +391,15 @@ def links_across(prints: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
-    """``node, shingles``: the distinct word shingles of ``docs(node, text)``, as 32-bit hashes."""
+    """``node, shingles``: the distinct word shingles of ``docs(node, text)``, as 32-bit hashes; texts of another node are left out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches):
-            sets = [np.unique(shingle_hashes(x, shingle_words).astype(np.uint32)).view(np.int32) for x in texts]
-            yield pa.record_batch([rows.column("node"), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
+            found = [np.unique(shingle_hashes(x, shingle_words)) for x in texts]
+            sets = pa.array([np.unique(x.astype(np.uint32)).view(np.int32) for x in found], pa.list_(pa.int32()))
+            # Rows that repeat an id can have different texts.
+            own = pa.array(np.array([node_of(x) for x in found], np.int64) == rows.column("node").to_numpy(zero_copy_only=False))
+            yield pa.record_batch([rows.column("node"), sets], names=["node", "shingles"]).filter(own)
 
     return docs.select("node", "text").mapInArrow(run, "node long, shingles array<int>")
 
@@ -429,18 +429,18 @@ def copies_of(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     Candidates share a band of least hashes of their shingles, so it does not matter
     whether the edits are scattered or in a block.  At a band the
     forest of least sketch distance is taken, whose links connect what all links
-    would, so far as the sketches order them rightly.  Links of sketches more than
-    ``SURE`` bits apart count only if the whole texts' shingle sets bear them out:
-    first the nearest link of every node without a sure one, then every link
+    would, so far as the sketches order them rightly.  Links count only if the whole
+    texts' shingle sets bear them out: first the nearest link of every node, then every link
     between different groups, then every other candidate between groups that a
     refuted link parts.  Rows that repeat an id are one document.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches):
-            least = [least_hashes(np.unique(shingle_hashes(x, shingle_words))) for x in texts]
+            sets = [np.unique(shingle_hashes(x, shingle_words)) for x in texts]
+            least = [least_hashes(x) for x in sets]
             sketches = np.array([sketch_of(x) for x in least], np.uint64)
-            columns = [rows.column("doc_id"), pa.array(node_of(sketches)), *map(pa.array, np.ascontiguousarray(sketches.T).view(np.int64)), pa.array([bands_of(x) for x in least], pa.list_(pa.int64()))]
+            columns = [rows.column("doc_id"), pa.array([node_of(x) for x in sets], pa.int64()), *map(pa.array, np.ascontiguousarray(sketches.T).view(np.int64)), pa.array([bands_of(x) for x in least], pa.list_(pa.int64()))]
             yield pa.record_batch(columns, names=["doc_id", "node", *SKETCH, "bands"])
 
     prints = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").filter("doc_id is not null")
@@ -455,12 +455,11 @@ def copies_of(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     texts = docs.select(docs["doc_id"].cast("long").alias("first"), "text").join(firsts, "first")
     sets = materialise(shingle_sets(texts, shingle_words).dropDuplicates(["node"]), "sets")
 
-    # The nearest link of each node; a node with a sure one waits.
+    # The nearest link of each node.
     either = found.select("u", "v", "apart", F.col("u").alias("node")).union(found.select("u", "v", "apart", F.col("v").alias("node")))
     nearest = either.groupBy("node").agg(F.min_by(F.struct("u", "v", "apart"), F.struct("apart", "u", "v")).alias("link")).select("link.*")
-    nearest = materialise(nearest.filter(F.col("apart") > SURE).select("u", "v").distinct(), "nearest")
-    sure = found.filter(F.col("apart") <= SURE).select("u", "v")
-    groups = _merged(ends.select("node", F.col("node").alias("group")), materialise(sure.union(_similar(nearest, sets)), "held"))
+    nearest = materialise(nearest.select("u", "v").distinct(), "nearest")
+    groups = _merged(ends.select("node", F.col("node").alias("group")), materialise(_similar(nearest, sets), "held"))
 
     across = _parted(found, groups).select("u", "v").join(nearest, ["u", "v"], "left_anti")
     groups = _merged(groups, materialise(_similar(materialise(across, "across"), sets), "held"))

@@ -202,6 +202,19 @@ def test_links_left_out_for_a_refuted_one_are_tried(spark):
     assert sorted(map(tuple, found)) == _copies_by_brute_force(docs)
 
 
+def test_close_sketches_are_checked_too(spark):
+    docs = []
+    for seed in (18409, 38919, 115923, 153766):  # similarity 33 / 42, sketches 5 or 6 bits apart
+        words = np.random.default_rng(seed).choice(8000, 46).astype(str).tolist()
+        docs += [(len(docs), " ".join(words)), (len(docs) + 1, " ".join(words[:37]))]
+    words = docs[0][1].split()
+    docs += [(0, " ".join(words[:40] + ["other"])), (90, " ".join(words[:40] + ["more"]))]  # an id with two texts
+    found = simhash.copies_of(spark.createDataFrame(docs, "doc_id long, text string").limit(8)).collect()
+    assert sorted(map(tuple, found)) == [(i, i) for i in range(8)]
+    found = simhash.copies_of(spark.createDataFrame(docs[:1] + docs[8:], "doc_id long, text string")).collect()
+    assert (90, 0) in {tuple(r) for r in found}
+
+
 def test_crowded_anchor_is_dealt_into_cells(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CROWD", 8)
     rows = [(0, 1 << i, 1 << i) for i in range(40)]
