@@ -14,9 +14,10 @@ both numbers, so no side is collected or broadcast; each cell returns at most k
 rows a query.
 
 Defined results: vectors null, empty, or holding a null or non-finite component
-take no part, nor do those with a component beyond ``LARGEST`` after scaling (sums of
-products and the walk's counters could pass a long); a query only meets vectors of its own length; a null
-id takes no part; rows with a repeated id are one candidate each but never meet a
+take no part; vectors with a component of ``LARGEST`` or more after scaling (sums of
+products and the walk's counters could pass a long) stand in blocks of their own and are scored
+exactly without the walk; a score among the best that does not fit a long is an error, as
+in SQL; a query only meets vectors of its own length; a null id takes no part; rows with a repeated id are one candidate each but never meet a
 query of the same id; fewer than k candidates give all; an empty table gives an
 empty table; other columns are ignored.
 """
@@ -24,6 +25,8 @@ empty table; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from heapq import nsmallest
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -42,29 +45,36 @@ BLOCK = "dim int, task int, number int, ids binary, values binary"
 
 
 def scaled(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
-    """``vec_id, dim, v``: floor(scale * x) of the vectors that take part."""
+    """``vec_id, dim, v, w``: floor(scale * x) of the vectors that take part, in ``w`` for those with a large component, else in ``v``."""
     x = F.col("embedding")
-    sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double") * scale) < LARGEST))
-    return vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0)).filter(sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.size(x).alias("dim"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("int")).alias("v"))
+    sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
+    narrow = F.forall(x, lambda c: F.abs(c.cast("double") * scale) < LARGEST)
+    v = F.when(narrow, F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("int")))
+    # Doubles of 2 ** 52 and over are whole, and may be too large for a long.
+    w = F.when(~narrow, F.transform(x, lambda c: F.when(F.abs(c.cast("double") * scale) < float(1 << 52), F.floor(c.cast("double") * scale).cast("double")).otherwise(c.cast("double") * scale)))
+    return vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0)).filter(sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.size(x).alias("dim"), v.alias("v"), w.alias("w"))
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows packed by length into blocks of at most ``size``, one binary row each."""
+    """Rows packed by length into blocks of at most ``size``, one binary row each; 4 bytes a value, 8 in blocks of ``w``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[tuple[int, str], tuple[list, list]] = {}
 
         def packed(dim: int, ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([dim], pa.int32()), pa.array([task], pa.int32()), pa.array([number], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([values.astype("<i4").tobytes()])], names=["dim", "task", "number", "ids", "values"])
+            return pa.record_batch([pa.array([dim], pa.int32()), pa.array([task], pa.int32()), pa.array([number], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([values.astype("<f8" if values.dtype.kind == "f" else "<i4").tobytes()])], names=["dim", "task", "number", "ids", "values"])
 
         for batch in batches:
             dims = batch.column("dim").to_numpy(zero_copy_only=False)
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            for dim in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == dim)
-                values = batch.column("v").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                a, b = held.setdefault(dim, ([], []))
+            wide = batch.column("v").is_null().to_numpy(zero_copy_only=False)
+            for dim, column in product(np.unique(dims).tolist(), "vw"):
+                at = np.flatnonzero((dims == dim) & (wide == (column == "w")))
+                if not at.size:
+                    continue
+                values = batch.column(column).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                a, b = held.setdefault((dim, column), ([], []))
                 a.append(ids[at])
                 b.append(values)
                 if sum(map(len, a)) >= size:
@@ -73,8 +83,8 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
                         yield packed(dim, every[:size], rows[:size])
                         number += 1
                         every, rows = every[size:], rows[size:]
-                    held[dim] = ([every], [rows])
-        for dim, (a, b) in held.items():
+                    held[dim, column] = ([every], [rows])
+        for (dim, _), (a, b) in held.items():
             if sum(map(len, a)):
                 yield packed(dim, np.concatenate(a), np.concatenate(b))
                 number += 1
@@ -139,6 +149,24 @@ class ImpactIndex:
         return self.ids[possible][best], score[best]
 
 
+def _values(raw: bytes, rows: int, dim: int) -> np.ndarray:
+    """A block's values: 32-bit integers, or doubles that hold whole numbers."""
+    return np.frombuffer(raw, "<f8" if len(raw) == rows * dim * 8 else "<i4").reshape(-1, dim)
+
+
+def exact_top(ids: np.ndarray, values: np.ndarray, name: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """``ImpactIndex.top`` by exact sums of any size over all rows, as pairs of id and score."""
+    if float(np.abs(values).max()) * float(np.abs(query).max()) * query.size < 1 << 52:
+        score = values.astype(np.int64) @ query.astype(np.int64)
+    else:
+        whole = np.frompyfunc(int, 1, 1)
+        score = whole(values) @ whole(query)
+    best = nsmallest(k, ((-s, i) for i, s in zip(ids.tolist(), score.tolist(), strict=True) if i != name))
+    if any(not -(1 << 63) <= -s < 1 << 63 for s, _ in best):
+        raise OverflowError(f"a score of vector {name} does not fit a long")
+    return [(i, -s) for s, i in best]
+
+
 def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the ids divisible by ``query_every`` against all rows."""
     rows = materialise(scaled(vectors), "scaled")
@@ -155,9 +183,15 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 dim, r_ids, r_values, q_ids, q_values = (batch.column(c)[i].as_py() for c in range(5))
-                index = ImpactIndex(np.frombuffer(r_ids, "<i8"), np.frombuffer(r_values, "<i4").reshape(-1, dim))
+                rows, names = np.frombuffer(r_ids, "<i8"), np.frombuffer(q_ids, "<i8")
+                values, queries = _values(r_values, rows.size, dim), _values(q_values, names.size, dim)
+                narrow = values.dtype.kind == queries.dtype.kind == "i"
+                index = ImpactIndex(rows, values) if narrow else None
                 out: list[tuple] = []
-                for name, query in zip(np.frombuffer(q_ids, "<i8").tolist(), np.frombuffer(q_values, "<i4").reshape(-1, dim), strict=True):
+                for name, query in zip(names.tolist(), queries, strict=True):
+                    if index is None:
+                        out += [(name, a, b) for a, b in exact_top(rows, values, name, query, k)]
+                        continue
                     ids, scores = index.top(name, query, k)
                     out += [(name, a, b) for a, b in zip(ids.tolist(), scores.tolist(), strict=True)]
                 yield pa.record_batch([pa.array([x[j] for x in out], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])

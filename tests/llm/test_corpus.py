@@ -267,6 +267,21 @@ def test_topk_matches_sql_and_brute_force(spark):
     assert sorted(tuple(r) for r in impactsearch.top_k(odd).collect()) == [(0, 1, 50, 4 * 256 * 256), (50, 1, 0, 4 * 256 * 256)]
 
 
+def test_topk_keeps_large_components(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(0, 1, (60, 3))
+    vectors[::7] *= 1e6
+    vectors[10] = (1e7, 1e-3, -2e4)  # products beyond 2 ** 53
+    rows = [(i * 5, x) for i, x in enumerate(vectors.tolist())] + [(1000, [float("inf"), 1.0, 1.0])]
+    wanted = []
+    whole = {i: [int(np.floor(c * 256)) for c in x] for i, x in rows[:-1]}
+    for q in (i for i in whole if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)[:5]
+        wanted += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    found = impactsearch.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, found)) == sorted(wanted)
+
+
 def test_urls(spark):
     urls = [None, "", "nothing", "http://A.Example.com/en/1", "http://www.example.com/en/1?x", "https://x.net/es/", "https://net/es/2#a", "https://example.com", "https://cheappills.org/en/?q", "https://a.org/x", "https://badexample.com/en/"]
     pages = spark.createDataFrame([(i, u, "<p>cheap pills example</p>") for i, u in enumerate(urls)] + [(None, "http://q.com/", None)], "page_id long, url string, html string")
