@@ -6,9 +6,10 @@ frequency.  Training is follow-the-regularised-leader with an elastic-net penalt
 (so most weights stay exactly zero), followed by one temperature fitted on
 documents kept aside, which turns the top probability into a confidence.
 
-The fit, with its document frequencies, takes a bounded sample (``PER_LANGUAGE``
-documents of each language, of at most ``LONGEST`` characters); prediction reads
-every whole text.
+The fit takes a bounded sample (``PER_LANGUAGE`` documents of each language, of at
+most ``LONGEST`` characters); document frequencies are counted over every whole
+text outside the held-out fold that has a language, and prediction reads every
+whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 if nothing can be learned every text is ``und``; a null ``doc_id`` has
@@ -63,8 +64,12 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return powers / powers.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[str], langs: list[str], rounds: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, seed: int = 3) -> Languages | None:
-    """Train on texts and their languages; one in five is kept aside for the temperature."""
+def fit(texts: list[str], langs: list[str], rounds: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, seed: int = 3, frequencies: tuple[np.ndarray, int] | None = None) -> Languages | None:
+    """Train on texts and their languages; one in five is kept aside for the temperature.
+
+    ``frequencies`` are the document frequencies of the buckets and the number of
+    documents; without them those of the training texts are taken.
+    """
     names = sorted(set(langs))
     if not names:
         return None
@@ -72,10 +77,12 @@ def fit(texts: list[str], langs: list[str], rounds: int = 3, alpha: float = 0.5,
     aside, use = order[: len(order) // 5], order[len(order) // 5 :]
     label = np.array([names.index(x) for x in langs])
     held = list(bags([texts[i] for i in use], SIZES, BITS, _FOLD))
-    seen = np.zeros(1 << BITS)
-    for ids, _, _ in held:
-        seen[ids] += 1
-    idf = np.log((1 + len(held)) / (1 + seen)) + 1
+    if frequencies is None:
+        frequencies = np.zeros(1 << BITS), len(held)
+        for ids, _, _ in held:
+            frequencies[0][ids] += 1
+    seen, every = frequencies
+    idf = np.log((1 + every) / (1 + seen)) + 1
     classes = len(names)
     z, n = np.zeros((1 << BITS, classes)), np.zeros((1 << BITS, classes))
     z_bias, n_bias = np.zeros(classes), np.zeros(classes)
@@ -107,13 +114,32 @@ def fit(texts: list[str], langs: list[str], rounds: int = 3, alpha: float = 0.5,
     return model
 
 
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many texts of ``docs`` each bucket occurs, and the number of texts; 2 ** BITS numbers whatever the corpus."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((1 << BITS) + 1, np.int64)
+        for _, texts in slices(batches):
+            for ids, _, _ in bags(texts, SIZES, BITS, _FOLD):
+                seen[ids] += 1
+                seen[-1] += 1
+        found = np.flatnonzero(seen)
+        yield pa.record_batch([pa.array(found), pa.array(seen[found])], names=["bucket", "n"])
+
+    counted = docs.select("text").filter("text is not null").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    seen = np.zeros((1 << BITS) + 1)
+    for row in counted:
+        seen[row["bucket"]] = row["n"]
+    return seen[:-1], int(seen[-1])
+
+
 def learn(docs: DataFrame, folds: int = 4, held_fold: int = 2) -> Languages | None:
-    """Fit on a bounded sample of documents with a language outside the held-out fold."""
+    """Fit on a bounded sample of documents with a language outside the held-out fold, with the document frequencies of them all."""
     known = docs.filter(F.col("lang").isNotNull() & (residue(F.col("doc_id").cast("long"), folds) != held_fold))
     mark = F.xxhash64(F.col("doc_id").cast("long"), "text")
     ready = known.filter(F.length("text").between(1, LONGEST) & F.col("doc_id").isNotNull())
     texts, langs = sample(docs, ready.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), F.col("lang").alias("label")), PER_LANGUAGE)
-    return fit(texts, langs)
+    return fit(texts, langs, frequencies=document_frequencies(known.filter(F.col("doc_id").isNotNull()))) if texts else None
 
 
 def _named(model: Languages | None, batch: pa.RecordBatch, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

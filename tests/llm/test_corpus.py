@@ -305,6 +305,19 @@ def test_toxicity_and_language_on_held_out_folds(spark):
     assert (found["selected"] == (found["quality"] == 1)).mean() > 0.9
 
 
+def test_language_document_frequencies_are_of_all_documents(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [r for r in docs.collect() if r["lang"] and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    wanted = np.zeros(1 << langid.BITS)
+    for ids, _, _ in langid.bags([r["text"] for r in rows], langid.SIZES, langid.BITS, langid._FOLD):
+        wanted[ids] += 1
+    held = {}
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 5)
+    monkeypatch.setattr(langid, "fit", lambda texts, langs, **more: held.update(more))
+    langid.learn(docs)
+    assert (held["frequencies"][0] == wanted).all() and held["frequencies"][1] == len(rows)
+
+
 def test_models_on_odd_and_empty_tables(spark, odd, empty):
     model = toxicity.fit(["you idiot", "a fine day"] * 20, np.array([1, 0] * 20))
     assert toxicity.score_documents(odd, model).count() == odd.count() and toxicity.score_documents(empty, model).count() == 0
