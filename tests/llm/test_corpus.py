@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -305,6 +306,21 @@ def test_toxicity_and_language_on_held_out_folds(spark):
     assert (found["selected"] == (found["quality"] == 1)).mean() > 0.9
 
 
+def test_pipeline_stages_keep_what_brute_force_keeps(spark, monkeypatch):
+    folder, kept = "/root/testdata/sf0.001", []
+    write = corpus_pipeline.materialise
+    monkeypatch.setattr(corpus_pipeline, "materialise", lambda df, name: kept.append(write(df, name)) or kept[-1])
+    packed = {r["doc_id"] for r in corpus_pipeline.run(spark, folder).select("doc_id").collect()}
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    clean, named, single = ({r["doc_id"]: r["text"] for r in x.collect()} for x in kept)
+    scored = toxicity.score_documents(docs, toxicity.learn(docs, labels)).collect()
+    assert set(clean) == {r["doc_id"] for r in scored if not r["predicted"]}
+    found = langid.identify(kept[0], langid.learn(kept[0])).collect()
+    assert set(named) == {r["doc_id"] for r in found if r["lang_pred"] != "und" and r["score"] >= 0.5}
+    assert set(single) == {i for i, least in _copies_by_brute_force(sorted(named.items())) if i == least}
+    assert packed == set(single)
+
+
 def test_language_document_frequencies_are_of_all_documents(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [r for r in docs.collect() if r["lang"] and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
