@@ -2,33 +2,41 @@
 
 Large-star / small-star rounds (Kiveris et al., "Connected Components in
 MapReduce and Beyond", 2014).  Each round is two aggregations and two joins over
-the edge table; no neighbourhood is ever gathered into one row, and partial
-``min`` aggregation keeps a hub's edges from meeting in one task.  Every round is
-written to the shared folder, so the plan does not grow.
+the edge table; no neighbourhood is ever gathered into one row.  Partial ``min``
+aggregation and a broadcast of the few keys that hold a large share of the edges
+keep a hub's edges from meeting in one task.  Every round is written to the
+shared folder and the one before removed, so neither the plan nor the disk grows.
+The rounds end when every node hangs on its component's least.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from netspark.plans.workspace import materialise
+from netspark.plans.skew import join_counted
+from netspark.plans.workspace import discard, materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = _least(both).select("u", F.least("u", "m").alias("m"), "n")
+    return join_counted(both.filter("v > u"), low, "u", "n", 2 * rows).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
+    low = _least(edges)
+    joined = join_counted(edges, low, "u", "n", rows).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return joined.union(low.select("u", F.col("m").alias("v")))
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-    return tuple(row)
+def _starred(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other that hangs on none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up > 0 and down > 0").isEmpty()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -42,14 +50,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     work = materialise(work, "edges")
-    before = _signature(work)
-    for _ in range(max_rounds):
-        work = materialise(_small_star(_large_star(work).distinct()).distinct(), "stars")
-        after = _signature(work)
-        if after == before:
+    rows = work.count()
+    for _ in range(max_rounds if rows else 0):
+        if _starred(work):
             break
-        before = after
+        large = materialise(_large_star(work, rows).distinct(), "stars")
+        discard(work)
+        work = materialise(_small_star(large, rows).distinct(), "stars")
+        discard(large)
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if rows:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = work.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return work.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

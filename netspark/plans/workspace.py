@@ -2,8 +2,8 @@
 
 Iterative and multi-pass operators write their intermediate tables here, so a
 lost executor only costs a re-read.  The folder is the cluster's
-``spark.checkpoint.dir``; one of our own is set only where that is unset, as in
-tests.
+``spark.checkpoint.dir``; one of our own is set only where that is unset and the
+session runs in one machine, as in tests.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="netspark-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -31,4 +34,15 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/netspark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.__dict__["_netspark_path"] = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table that ``materialise`` wrote, once nothing reads it any more."""
+    path = df.__dict__.pop("_netspark_path", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
