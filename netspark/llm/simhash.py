@@ -25,7 +25,6 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from netspark.llm.arrow_text import hand_back, slices
 from netspark.operators.components import connected_components
+from netspark.plans.skew import checked, join_counted
 from netspark.plans.workspace import materialise
 
 SEED = 42
@@ -56,17 +56,21 @@ def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(begins, stops[shingle_words - 1 :].tolist(), strict=True)], "<u8")
 
 
-def fingerprint(text: str | None, shingle_words: int = 4) -> int:
-    """The 64-bit fingerprint of one text."""
-    hashes = shingle_hashes(text, shingle_words)
-    if hashes.size < 2:
-        return int(hashes[0]) if hashes.size else 0
+def _majority(hashes: np.ndarray) -> int:
+    """The 64-bit fingerprint of hashes."""
+    if not hashes.size:
+        return 0
     votes = np.zeros(64, np.int64)
     for a in range(0, hashes.size, 1 << 16):
         votes += np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(votes * 2 > hashes.size, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle_words: int = 4) -> int:
+    """The 64-bit fingerprint of one text."""
+    return _majority(shingle_hashes(text, shingle_words))
+
+
 def fingerprints(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
     """``doc_id, fp``: the fingerprint as a signed long."""
 
@@ -121,50 +125,24 @@ def replicas(prints: DataFrame, payload: tuple[str, ...]) -> DataFrame:
     return prints.select("table", "fp", *payload).mapInArrow(run, ", ".join(f"{c} long" for c in ("anchor", "fp", *payload)))
 
 
-def _apart(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Differing bits between one sketch and each row."""
-    return np.bitwise_count(rows ^ at).sum(axis=1, dtype=np.int64)
-
-
-def _forest(fps: np.ndarray, load: np.ndarray, bits: int, sure: int, reach: int) -> list[tuple[int, int, int]]:
-    """A spanning forest of the links among one anchor's fingerprints: places of both ends, and sketch bits apart.
-
-    Rows whose fingerprints are at most ``bits`` apart are linked if their sketches
-    are at most ``reach`` apart.  The forest is Prim's, of least sketch distance,
-    but that links of at most ``sure`` bits are taken as they are met.
-    """
-    edges: list[tuple[int, int, int]] = []
+def _forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among one anchor's fingerprints: places of both ends."""
+    edges: list[tuple[int, int]] = []
     left = np.arange(fps.size)
-    best = np.full(fps.size, reach + 1)
-    parent = np.zeros(fps.size, np.int64)
-    frontier: list[int] = []
     while left.size:
-        if not frontier:
-            place = int(best[left].argmin())
-            at = int(left[place])
-            if best[at] <= reach:
-                edges.append((int(parent[at]), at, int(best[at])))
-            frontier.append(at)
-            left = np.delete(left, place)
-            continue
-        at = frontier.pop()
-        near = left[np.bitwise_count(fps[left] ^ fps[at]) <= bits]
-        if not near.size:
-            continue
-        gap = _apart(load[at], load[near])
-        taken = near[gap <= sure]
-        closer = (gap > sure) & (gap < best[near])
-        best[near[closer]], parent[near[closer]] = gap[closer], at
-        if taken.size:
-            edges += [(at, x, d) for x, d in zip(taken.tolist(), gap[gap <= sure].tolist(), strict=True)]
-            frontier += taken.tolist()
-            best[taken] = -1
-            left = left[best[left] >= 0]
+        frontier, left = [int(left[0])], left[1:]
+        while frontier and left.size:
+            at = frontier.pop()
+            near = np.bitwise_count(fps[left] ^ fps[at]) <= bits
+            taken = left[near].tolist()
+            left = left[~near]
+            edges += [(at, x) for x in taken]
+            frontier += taken
     return edges
 
 
-def _links(anchor: np.ndarray, fps: np.ndarray, load: np.ndarray, bits: int, sure: int, reach: int) -> np.ndarray:
-    """Links of whole runs of equal anchors: places of both ends and sketch bits apart."""
+def _links(anchor: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
+    """Links of whole runs of equal anchors: places of both ends."""
     edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True])))
     sizes = np.diff(edge)
     begin = edge[:-1]
@@ -184,8 +162,8 @@ def _links(anchor: np.ndarray, fps: np.ndarray, load: np.ndarray, bits: int, sur
     out = []
     for run in np.flatnonzero(hit).tolist():
         here = slice(begin[run], begin[run] + sizes[run])
-        out += [(begin[run] + u, begin[run] + v, d) for u, v, d in _forest(fps[here], load[here], bits, sure, reach)]
-    return np.array(out, np.int64).reshape(-1, 3)
+        out += [(begin[run] + u, begin[run] + v) for u, v in _forest(fps[here], bits)]
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
 def _deal(copies: DataFrame, some: DataFrame, rate: int) -> DataFrame:
@@ -211,7 +189,7 @@ def _one_in(prints: DataFrame, rate: int) -> DataFrame:
 
 
 def _by_anchor(copies: DataFrame, found: Callable[[list[np.ndarray]], Iterable[pa.RecordBatch]]) -> DataFrame:
-    """``u, v, apart`` that ``found`` makes of the columns of whole runs of equal anchors."""
+    """``u, v`` that ``found`` makes of the columns of whole runs of equal anchors."""
     names = copies.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,20 +197,22 @@ def _by_anchor(copies: DataFrame, found: Callable[[list[np.ndarray]], Iterable[p
         for batch in batches:
             kept = [np.concatenate((old, batch.column(c).to_numpy(zero_copy_only=False))) for old, c in zip(kept, names, strict=True)]
             cut = int(np.searchsorted(kept[0], kept[0][-1])) if kept[0].size else 0  # the last run may go on
-            yield from found([x[:cut] for x in kept])
-            kept = [x[cut:] for x in kept]
-        yield from found(kept)
+            if cut:
+                yield from found([x[:cut] for x in kept])
+                kept = [x[cut:] for x in kept]
+        if kept[0].size:
+            yield from found(kept)
         hand_back()
 
-    return copies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "u long, v long, apart long")
+    return copies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "u long, v long")
 
 
-def _edges(nodes: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(nodes[edges[:, 0]]), pa.array(nodes[edges[:, 1]]), pa.array(edges[:, 2])], names=["u", "v", "apart"])
+def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
 def links(prints: DataFrame, bits: int = 4) -> DataFrame:
-    """``u, v, apart``: enough of the linked pairs of ``prints(table, fp, node)`` to connect all of them.
+    """``u, v``: enough of the linked pairs of ``prints(table, fp, node)`` to connect all of them.
 
     Two nodes are linked if their fingerprints in some table are at most ``bits`` apart.
     """
@@ -243,8 +223,8 @@ def links(prints: DataFrame, bits: int = 4) -> DataFrame:
 
     def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         anchor, fps, nodes = rows
-        # Without a sketch every pair within reach of the fingerprints is sure.
-        yield _edges(nodes, _links(anchor, fps.view(np.uint64), np.zeros((nodes.size, 0), np.uint64), bits, 0, 0) if anchor.size else np.zeros((0, 3), np.int64))
+        pairs = _links(anchor, fps.view(np.uint64), bits)
+        yield _edges(nodes[pairs[:, 0]], nodes[pairs[:, 1]])
 
     return _by_anchor(copies, found)
 
@@ -252,30 +232,27 @@ def links(prints: DataFrame, bits: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, bits: int = 4) -> DataFrame:
     """One row a document: ``doc_id, fingerprint`` (16 hex digits) and ``component_id``."""
     prints = materialise(fingerprints(docs, shingle_words), "prints")
+    rows = prints.count()
     # One row a fingerprint: its least document.  Partial minima keep a fingerprint of many copies from meeting in one task.
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    parts = connected_components(links(distinct.select(F.lit(0).alias("table"), "fp", F.col("fp").alias("node")), bits).select("u", "v"))
-    least = materialise(distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "labels")
-    named = least.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_print = least.join(named, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "distinct")
+    parts = materialise(connected_components(links(distinct.select(F.lit(0).alias("table"), "fp", F.col("fp").alias("node")), bits)).withColumnRenamed("node", "fp"), "parts")
+    # Most fingerprints are linked to no other; the rest are named by the least document of their component.
+    linked = distinct.join(parts, "fp")
+    named = linked.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
+    names = join_counted(linked.select("fp", "component"), named, "component", "members", rows).select("fp", "component_id")
+    by_print = materialise(distinct.join(names, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "copies"), "names")
+    return join_counted(prints, by_print, "fp", "copies", rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- copies at a shingle similarity -------------------------------------------
 
 SIMILAR = 0.8
 #: A candidate shares all BAND least hashes of one of BANDS bands, which texts of similarity j do
-#: with a chance of 1 - (1 - j ** BAND) ** BANDS, wherever they differ: at 0.8 all but 5 in 10 ** 8.
-BANDS, BAND = 32, 4
-#: A sketch has one bit of the least hash of each of so many permutations; texts of
-#: similarity j differ in (1 - j) / 2 of them.  At 0.8 that is 19.2 +- 4.2 bits of 192.
-SKETCH_BITS = 192
-SKETCH = ("s0", "s1", "s2")
-#: Sketches over REACH apart are not looked at, which loses 4 pairs in 10 ** 7 at exactly 0.8.
-#: A forest takes those at most CLOSE apart as it meets them.
-CLOSE, REACH = 6, 42
-#: Where candidates between groups are tried in turn: sketches up to these many bits apart, then all.
-STEPS = (24,)
+#: with a chance of 1 - (1 - j ** BAND) ** BANDS, wherever they differ: at 0.8 all but 6 in 10 ** 5, at 0.85 all but 3 in 10 ** 7.
+BANDS, BAND = 32, 6
+#: Texts that a task compares with each other, and the bytes of their sets, about.
+BLOCK = 1024
+BLOCK_BYTES = 1 << 27
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -285,26 +262,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 _STEP = 0x9E3779B97F4A7C15
-_FACTORS = _mix(np.arange(1, SKETCH_BITS + 1, dtype=np.uint64) * np.uint64(_STEP)) | np.uint64(1)
+_FACTORS = (_mix(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(_STEP)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def least_hashes(hashes: np.ndarray) -> np.ndarray:
-    """The least value of a set of hashes under each permutation."""
-    least = np.full(SKETCH_BITS, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, hashes.size, 512):
-        np.minimum(least, (_FACTORS[:, None] * hashes[None, a : a + 512]).min(axis=1), out=least)
+    """The least value of a set of hashes under each permutation, of their upper 32 bits."""
+    upper = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(_FACTORS.size, np.iinfo(np.uint32).max, np.uint32)
+    for a in range(0, upper.size, 1024):
+        np.minimum(least, (_FACTORS[:, None] * upper[None, a : a + 1024]).min(axis=1), out=least)
     return least
 
 
-def sketch_of(least: np.ndarray) -> np.ndarray:
-    """The one-bit min-hash sketch of the least hashes, as three words."""
-    return np.packbits((least >> np.uint64(30)).astype(np.uint8) & 1, bitorder="little").view("<u8")
-
-
 def bands_of(least: np.ndarray) -> np.ndarray:
     """One long a band of the least hashes; each band has its own."""
     x = np.arange(BANDS, dtype=np.uint64)
-    for part in least[: BANDS * BAND].reshape(BANDS, BAND).T:
+    for part in least.astype(np.uint64).reshape(BANDS, BAND).T:
         x = _mix((x ^ part) + np.uint64(_STEP))
     return x.view(np.int64)
 
@@ -314,183 +287,191 @@ def node_of(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED) - (1 << 63)
 
 
-def _band_links(anchor: np.ndarray, load: np.ndarray, sure: int, reach: int) -> np.ndarray:
-    """Links of whole runs of equal anchors, as ``_links``, of sketches alone."""
-    edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True])))
-    sizes, begin = np.diff(edge), edge[:-1]
-    hit = sizes > 32
-    # Compare rows one, two, ... places apart within their run, for all short runs at once.
-    left = np.repeat(np.where(hit, 0, sizes), sizes) - (np.arange(anchor.size) - np.repeat(begin, sizes))
-    owner = np.repeat(np.arange(sizes.size), sizes)
-    out = []
-    at = np.flatnonzero(left > 1)
-    lag = 1
-    while at.size:
-        gap = np.bitwise_count(load[at] ^ load[at + lag]).sum(axis=1, dtype=np.int64)
-        near = at[gap <= reach]
-        lone = sizes[owner[near]] == 2
-        out.append(np.stack((near, near + lag, gap[gap <= reach]), axis=1)[lone])
-        hit[owner[near[~lone]]] = True
-        lag += 1
-        at = at[left[at] > lag]
-    for run in np.flatnonzero(hit).tolist():
-        here = slice(begin[run], begin[run] + sizes[run])
-        found = _forest(np.zeros(sizes[run], np.uint64), load[here], 0, sure, reach)
-        out.append(np.array(found, np.int64).reshape(-1, 3) + (begin[run], begin[run], 0))
-    return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-
-
-def _banded(prints: DataFrame, *more: str) -> DataFrame:
-    """``anchor, node``, the sketch and ``more`` for every band of ``prints``, crowded anchors dealt out."""
-
-    def spread(rows: DataFrame) -> DataFrame:
-        return rows.select(F.explode("bands").alias("anchor"), "node", *SKETCH, *more)
+def band_stars(nodes: DataFrame) -> DataFrame:
+    """``u, v``: the nodes of each band of ``nodes(node, bands)`` joined to one of them.
 
+    A band's nodes need not meet: those of a crowded band (estimated on one node in
+    ``CROWD / 64``) are joined to a node known beforehand, where they stand.
+    """
+    spread = nodes.select(F.explode("bands").alias("anchor"), "node")
     rate = max(1, CROWD // 64)
-    return _deal(spread(prints), spread(_one_in(prints, rate)), rate)
-
-
-def band_links(prints: DataFrame) -> DataFrame:
-    """``u, v, apart``: at each band of ``prints(node, sketch, bands)`` a forest of the links of sketches at most ``REACH`` apart."""
+    crowded = _one_in(nodes, rate).select(F.explode("bands").alias("anchor"), "node").groupBy("anchor").agg((F.count("*") * rate).alias("n"), F.min("node").alias("centre"))
+    crowded = materialise(crowded.filter(F.col("n") > CROWD).select("anchor", "centre"), "crowded")
+    stars = None
+    if not crowded.isEmpty():
+        stars = spread.join(checked(crowded), "anchor").select(F.col("node").alias("u"), F.col("centre").alias("v"))
+        spread = spread.join(checked(crowded), "anchor", "left_anti")
 
     def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        anchor, nodes, *load = rows
-        yield _edges(nodes, _band_links(anchor, np.stack(load, axis=1).view(np.uint64), CLOSE, REACH) if anchor.size else np.zeros((0, 3), np.int64))
-
-    return _by_anchor(_banded(prints), found)
+        anchor, node = rows
+        new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+        centre = np.repeat(node[new], np.diff(np.append(new, anchor.size)))
+        pairs = np.unique(np.stack((node, centre), axis=1)[node != centre], axis=0)
+        yield _edges(pairs[:, 0], pairs[:, 1])
 
+    own = _by_anchor(spread, found)
+    return own if stars is None else own.union(stars)
 
-def _across(anchor: np.ndarray, group: np.ndarray, load: np.ndarray, low: int, high: int) -> Iterator[np.ndarray]:
-    """All pairs of different groups at one anchor whose sketches are over ``low`` and at most ``high`` apart, some at a time."""
-    edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True])))
-    held, number = [np.zeros((0, 3), np.int64)], 0
-    for begin, end in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        if end - begin < 2 or (group[begin:end] == group[begin]).all():
-            continue
-        for at in range(begin, end - 1):
-            other = np.flatnonzero(group[at + 1 : end] != group[at]) + at + 1
-            gap = _apart(load[at], load[other])
-            near = (gap > low) & (gap <= high)
-            held.append(np.stack((np.full(near.sum(), at), other[near], gap[near]), axis=1))
-            number += len(held[-1])
-            if number > 1 << 16:
-                yield np.concatenate(held)
-                held, number = [np.zeros((0, 3), np.int64)], 0
-    yield np.concatenate(held)
-
-
-def links_across(prints: DataFrame, low: int, high: int) -> DataFrame:
-    """``u, v, apart``: every pair of ``prints(node, sketch, bands, group)`` that shares a band but not its group, of sketches over ``low`` and at most ``high`` apart."""
 
-    def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        anchor, nodes, *load, group = rows
-        if anchor.size:
-            yield from (_edges(nodes, pairs) for pairs in _across(anchor, group, np.stack(load, axis=1).view(np.uint64), low, high))
+def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets that share at least ``SIMILAR`` of their members: places of both ends.
 
-    return _by_anchor(_banded(prints, "group"), found)
+    Members that no other set has are counted but not compared; a set of which less
+    than ``SIMILAR`` is found in any other cannot be in a pair and is left out.
+    """
+    size = np.array([x.size for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, member = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
+    # Empty sets equal each other.
+    empty = np.flatnonzero(size == 0).tolist()
+    edges = [(empty[0], x) for x in empty[1:]]
+    while True:
+        shared = np.bincount(member)[member] > 1 if member.size else np.zeros(0, bool)
+        own = np.bincount(owner[shared], minlength=size.size)
+        hopeful = (own >= SIMILAR * size) & (size > 0)
+        keep = shared & hopeful[owner]
+        if keep.all():
+            break
+        owner, member = owner[keep], member[keep]
+    if not member.size:
+        return edges
+    _, member = np.unique(member, return_inverse=True)
+    by_member = np.argsort(member, kind="stable")
+    holders, at = owner[by_member], np.concatenate(([0], np.cumsum(np.bincount(member))))
+    places = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=size.size))))
+    fresh = np.zeros(size.size, bool)
+    fresh[np.unique(owner)] = True
+    for start in np.flatnonzero(fresh).tolist():
+        frontier = [start] if fresh[start] else []
+        fresh[start] = False
+        while frontier:
+            one = frontier.pop()
+            both = np.zeros(size.size, np.int64)
+            mine = member[places[one] : places[one + 1]]
+            first, count = at[mine], at[mine + 1] - at[mine]
+            for a in range(0, mine.size, 1024):  # the holders of so many members at a time
+                c, ends = count[a : a + 1024], np.cumsum(count[a : a + 1024])
+                both += np.bincount(holders[np.repeat(first[a : a + 1024] - (ends - c), c) + np.arange(ends[-1])], minlength=size.size)
+            near = np.flatnonzero(fresh & (both >= SIMILAR * (size[one] + size - both))).tolist()
+            edges += [(one, x) for x in near]
+            fresh[near] = False
+            frontier += near
+    return edges
 
 
-def shingle_sets(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
-    """``node, shingles``: the distinct word shingles of ``docs(node, text)``, as 32-bit hashes; texts of another node are left out."""
+def _sets(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """``node, size, shingles``: the distinct word shingles of ``docs(node, text)`` as 64-bit hashes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches):
             found = [np.unique(shingle_hashes(x, shingle_words)) for x in texts]
-            sets = pa.array([np.unique(x.astype(np.uint32)).view(np.int32) for x in found], pa.list_(pa.int32()))
-            # Rows that repeat an id can have different texts.
-            own = pa.array(np.array([node_of(x) for x in found], np.int64) == rows.column("node").to_numpy(zero_copy_only=False))
-            yield pa.record_batch([rows.column("node"), sets], names=["node", "shingles"]).filter(own)
-
-    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<int>")
+            yield pa.record_batch([rows.column("node"), pa.array([x.size for x in found], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], names=["node", "size", "shingles"])
 
+    return docs.select("node", "text").mapInArrow(run, "node long, size long, shingles binary")
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs ``u, v`` of nodes whose texts share at least ``SIMILAR`` of their shingles."""
-    left, right = sets.toDF("u", "a"), sets.toDF("v", "b")
-    both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(left, "u").join(right, "v").filter(both >= F.lit(SIMILAR) * (F.size("a") + F.size("b") - both)).select("u", "v")
 
+def verified(families: DataFrame, sets: DataFrame) -> DataFrame:
+    """``u, v``: in each family of ``families(node, family)`` enough of the pairs of sets at ``SIMILAR`` to connect all such pairs.
 
-def _parted(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs ``u, v`` of nodes of different ``groups(node, group)``, with their groups ``gu, gv``."""
-    return pairs.join(groups.toDF("u", "gu"), "u").join(groups.toDF("v", "gv"), "v").filter("gu <> gv")
+    Sets can only be that similar if the smaller has ``SIMILAR`` of the larger's
+    members, so a set meets those of its own rung of sizes and the next.  A rung
+    of more than ``BLOCK`` sets is dealt into chunks, and each two of them meet in a task.
+    """
+    rung = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.log(F.lit(1.0 / (SIMILAR - 1e-9)))).cast("int")
+    held = materialise(families.join(sets.select("node", "size"), "node").select("node", "family", rung.alias("rung")), "rungs")
+    # A rung's task holds its sets and those of the rung below; without any of its own it has nothing new to compare.
+    meet = held.select("node", "family", F.explode(F.array(F.struct("rung", F.lit(True).alias("own")), F.struct((F.col("rung") + 1).alias("rung"), F.lit(False).alias("own")))).alias("at")).select("node", "family", "at.*")
+    sizes = materialise(meet.groupBy("family", "rung").agg(F.count("*").alias("n"), F.max("own").alias("own")).filter("n > 1 and own"), "rung_sizes")
+    rows = 2 * held.count()
+    mean = F.pow(F.lit(1 / SIMILAR), F.col("rung") + 1) * 8 / BLOCK_BYTES  # blocks that a set fills by its bytes
+    blocks = F.greatest(F.col("n") / BLOCK, F.col("n") * mean)
+    sizes = sizes.select(F.xxhash64("family", "rung").alias("place"), F.when(blocks > 1, F.least(F.ceil(2 * blocks), F.col("n"))).otherwise(1).cast("int").alias("chunks"), "n")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.least(own, x) * F.col("chunks") + F.greatest(own, x))
+    placed = join_counted(meet.select("node", F.xxhash64("family", "rung").alias("place")), sizes, "place", "n", rows)
+    placed = placed.select("node", F.explode(cells).alias("cell"), "place").select("node", F.xxhash64("place", "cell").alias("anchor"))
+    work = placed.join(sets.select("node", "shingles"), "node").select("anchor", "node", "shingles")
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, raw = None, [], []
 
-def _merged(groups: DataFrame, held: DataFrame) -> DataFrame:
-    """``groups(node, group)`` after the links ``held(u, v)``."""
-    parts = connected_components(_parted(held, groups).select(F.col("gu").alias("u"), F.col("gv").alias("v")))
-    return materialise(groups.join(parts.toDF("group", "wider"), "group", "left").select("node", F.coalesce("wider", "group").alias("group")), "groups")
+        def found() -> pa.RecordBatch:
+            pairs = np.array(similar_links([np.frombuffer(x, "<u8") for x in raw]), np.int64).reshape(-1, 2)
+            names = np.array(nodes, np.int64)
+            return _edges(names[pairs[:, 0]], names[pairs[:, 1]])
 
+        for batch in batches:
+            for anchor, node, shingles in zip(batch.column("anchor").to_pylist(), batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                if anchor != at:
+                    if len(nodes) > 1:
+                        yield found()
+                    at, nodes, raw = anchor, [], []
+                nodes.append(node)
+                raw.append(shingles)
+        if len(nodes) > 1:
+            yield found()
+        hand_back()
 
-def copies_of(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
-    """``doc_id, kept_id`` of every document; ``kept_id`` is the least id of its group of near copies.
+    return work.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "u long, v long")
 
-    Near copies share at least ``SIMILAR`` of their distinct five-word shingles.
-    Candidates share a band of least hashes of their shingles, so it does not matter
-    whether the edits are scattered or in a block.  At a band the
-    forest of least sketch distance is taken, whose links connect what all links
-    would, so far as the sketches order them rightly.  Links count only if the whole
-    texts' shingle sets bear them out: first the nearest link of every node, then every link
-    between different groups, then every other candidate between groups that a
-    refuted link parts.  Rows that repeat an id are one document.
-    """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in slices(batches):
-            sets = [np.unique(shingle_hashes(x, shingle_words)) for x in texts]
-            least = [least_hashes(x) for x in sets]
-            sketches = np.array([sketch_of(x) for x in least], np.uint64)
-            columns = [rows.column("doc_id"), pa.array([node_of(x) for x in sets], pa.int64()), *map(pa.array, np.ascontiguousarray(sketches.T).view(np.int64)), pa.array([bands_of(x) for x in least], pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, names=["doc_id", "node", *SKETCH, "bands"])
-
-    prints = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    prints = materialise(prints.mapInArrow(run, f"doc_id long, node long, {', '.join(f'{c} long' for c in SKETCH)}, bands array<long>"), "prints")
-    least = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("first")), "least")
-    nodes = materialise(prints.drop("doc_id").dropDuplicates(["node"]), "nodes")
-    found = band_links(nodes).filter("u <> v")
-    found = materialise(found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("apart").alias("apart")), "found")
-    ends = materialise(found.select(F.col("u").alias("node")).union(found.select(F.col("v").alias("node"))).distinct(), "ends")
-    # Written, so that its size is known: a small table is broadcast and then no text is shuffled.
-    firsts = materialise(least.join(ends, "node", "left_semi"), "firsts")
-    texts = docs.select(docs["doc_id"].cast("long").alias("first"), "text").join(firsts, "first")
-    sets = materialise(shingle_sets(texts, shingle_words).dropDuplicates(["node"]), "sets")
-
-    # The nearest link of each node.
-    either = found.select("u", "v", "apart", F.col("u").alias("node")).union(found.select("u", "v", "apart", F.col("v").alias("node")))
-    nearest = either.groupBy("node").agg(F.min_by(F.struct("u", "v", "apart"), F.struct("apart", "u", "v")).alias("link")).select("link.*")
-    nearest = materialise(nearest.select("u", "v").distinct(), "nearest")
-    groups = _merged(ends.select("node", F.col("node").alias("group")), materialise(_similar(nearest, sets), "held"))
-
-    across = _parted(found, groups).select("u", "v").join(nearest, ["u", "v"], "left_anti")
-    groups = _merged(groups, materialise(_similar(materialise(across, "across"), sets), "held"))
-
-    # A forest leaves links out.  Where one of its links is refuted, every other candidate between the
-    # groups is tried, the nearer ones first.  Such a candidate's ends are joined in a forest by a path
-    # with a refuted link, so both are of groups that have one.
-    tried = found.select("u", "v")
-    for low, high in pairwise((-1, *STEPS, REACH)):
-        apart = _parted(found, groups)
-        refuted = materialise(apart.select(F.col("gu").alias("group")).union(apart.select(F.col("gv").alias("group"))).distinct(), "refuted")
-        if refuted.isEmpty():
-            break
-        offered = links_across(nodes.join(groups.join(refuted, "group", "left_semi"), "node"), low, high)
-        offered = offered.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-        held = materialise(_similar(materialise(offered, "offered"), sets), "held")
-        if not held.isEmpty():
-            groups = _merged(groups, held)
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``docs`` has no such column."""
+    held = {c.lower() for c in docs.columns}
+    while name in held:
+        name += "_"
+    return name
 
-    grouped = least.join(groups, "node", "left").select("node", "first", F.coalesce("group", "node").alias("group"))
-    grouped = materialise(grouped, "labels")
-    named = grouped.groupBy("group").agg(F.min("first").alias("kept_id"))
-    return prints.select("doc_id", "node").join(grouped.join(named, "group").select("node", "kept_id"), "node").select("doc_id", "kept_id")
 
+def copies_of(docs: DataFrame, shingle_words: int = 5, bits: int = 4) -> DataFrame:
+    """``doc_id, mark, kept_id, kept_mark`` of every row: the document that stays of its group of near copies.
 
-def drop_copies(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
-    """``docs`` with the least id of each group of near copies.
+    Near copies share at least ``SIMILAR`` of their distinct word shingles, and a
+    group is all that such pairs connect.  Candidates are the SimHash links of the
+    anchors at ``bits``, and, as SimHash alone misses most pairs of that similarity,
+    texts that share a band of least hashes of their shingles, wherever their edits
+    stand.  Candidates' families are then compared in whole, by the exact shingle sets.
 
-    Rows that repeat an id are one document and stay or go together; rows without
-    an id stay.
+    A document is an id and a text, whose hash is the mark; rows that repeat both
+    stay or go together, rows of one id and other texts are documents of their own.
+    A text stays if its id is its group's least, ties by the mark; null ids are
+    greatest.  Null and empty texts and those of white space alone are equal; a text
+    of fewer words than a shingle is one shingle.
     """
-    gone = copies_of(docs, shingle_words).groupBy("doc_id").agg(F.min("kept_id").alias("kept_id")).filter("doc_id <> kept_id").select(F.col("doc_id").alias("__gone"))
-    gone = materialise(gone, "gone")  # its size is then known: if small it is broadcast and no text is shuffled
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in slices(batches):
+            every = [shingle_hashes(x, shingle_words) for x in texts]
+            sets = [np.unique(x) for x in every]
+            columns = [rows.column("doc_id"), rows.column("mark"), pa.array([node_of(x) for x in sets], pa.int64()), pa.array(np.array([_majority(x) for x in every], np.uint64).view(np.int64)), pa.array([bands_of(least_hashes(x)) for x in sets], pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["doc_id", "mark", "node", "fp", "bands"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    prints = materialise(rows.mapInArrow(run, "doc_id long, mark long, node long, fp long, bands array<long>"), "prints")
+    # The least document of each node; a struct's first field puts null ids last.
+    least = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"), F.count("*").alias("copies"))
+    least = materialise(least, "least")
+    nodes = materialise(prints.select("node", "fp", "bands").dropDuplicates(["node"]), "nodes")
+    near = links(nodes.select(F.lit(0).alias("table"), "fp", "node"), bits)
+    families = materialise(connected_components(band_stars(nodes).union(near)).withColumnRenamed("component", "family"), "families")
+    # Whole texts of one document a node, of nodes that have a family.
+    chosen = materialise(least.join(families.select("node"), "node", "left_semi").select("node", "first.doc_id", "first.mark"), "chosen")
+    chosen = checked(chosen.select("node", F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark")))
+    texts = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark")))
+    sets = materialise(_sets(texts, shingle_words).dropDuplicates(["node"]), "sets")
+    groups = connected_components(verified(families, sets))
+    grouped = materialise(least.join(groups, "node", "left").select("node", "first", "copies", F.coalesce("component", "node").alias("group")), "labels")
+    total = prints.count()
+    named = grouped.groupBy("group").agg(F.min("first").alias("kept"), F.count("*").alias("members"))
+    kept = materialise(join_counted(grouped, named, "group", "members", total).select("node", "copies", "kept"), "kept")
+    return join_counted(prints.select("doc_id", "mark", "node"), kept, "node", "copies", total).select("doc_id", "mark", F.col("kept.doc_id").alias("kept_id"), F.col("kept.mark").alias("kept_mark"))
+
+
+def drop_copies(docs: DataFrame, shingle_words: int = 5, bits: int = 4) -> DataFrame:
+    """``docs`` without the rows that ``copies_of`` does not keep; all columns as they are."""
+    stays = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark"))
+    name, own, mark = (_free(docs, x) for x in ("gone", "gone_mark", "own_mark"))
+    gone = copies_of(docs, shingle_words, bits).filter(~stays).select(F.col("doc_id").alias(name), F.col("mark").alias(own)).distinct()
+    gone = checked(materialise(gone, "gone"))  # if few, they are broadcast and no text is shuffled
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    return marked.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(name)) & (F.col(mark) == F.col(own)), "left_anti").drop(mark)

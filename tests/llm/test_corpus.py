@@ -143,7 +143,7 @@ def test_copies_are_the_groups_of_similar_shingle_sets(spark, odd):
                 group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
     least = {g: min(i for h, (i, _) in zip(group, held) if h == g) for g in set(group)}
     wanted = sorted((i, least[g]) for g, (i, _) in zip(group, held))
-    assert sorted(map(tuple, simhash.copies_of(docs).collect())) == wanted
+    assert _kept(simhash.copies_of(docs)) == wanted
 
 
 def _copies_by_brute_force(docs):
@@ -158,6 +158,10 @@ def _copies_by_brute_force(docs):
     return sorted((i, least[g]) for g, (i, _) in zip(group, held))
 
 
+def _kept(found):
+    return sorted((r["doc_id"], r["kept_id"]) for r in found.collect())
+
+
 def test_cut_and_extended_copies_are_found(spark):
     rng = np.random.default_rng(4)
     rows = []
@@ -175,21 +179,12 @@ def test_cut_and_extended_copies_are_found(spark):
     docs = [(i, " ".join(words)) for i, words in enumerate(rows)]
     wanted = _copies_by_brute_force(docs)
     assert sum(i != kept for i, kept in wanted) > 150
-    assert sorted(map(tuple, simhash.copies_of(spark.createDataFrame(docs, "doc_id long, text string")).collect())) == wanted
-
-
-def test_copies_with_distant_sketches_are_found(spark):
-    docs = []
-    for seed in (35, 115, 170, 389, 493):  # similarity 0.8, sketches 28 to 34 of 192 bits apart
-        words = np.random.default_rng(seed).choice(8000, 46).astype(str).tolist()
-        docs += [(len(docs), " ".join(words[:44])), (len(docs) + 1, " ".join(words[:36]))]
-    found = simhash.copies_of(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, found)) == [(i, i // 2 * 2) for i in range(len(docs))]
+    assert _kept(simhash.copies_of(spark.createDataFrame(docs, "doc_id long, text string"))) == wanted
 
 
-def test_links_left_out_for_a_refuted_one_are_tried(spark):
+def test_families_around_the_threshold(spark):
     docs = []
-    for seed in (247, 284, 504):  # families in which forests of least sketch distance leave out a link that joins groups
+    for seed in (247, 284, 504):  # families in which many pairs fall just short
         rng = np.random.default_rng(seed)
         base = rng.choice(8000, 30).astype(str).tolist()
         docs.append((len(docs), " ".join(base)))
@@ -199,21 +194,52 @@ def test_links_left_out_for_a_refuted_one_are_tried(spark):
                 words = words[cut:] if head else words[:-cut]
             more = [f"e{rng.integers(1e6)}" for _ in range(int(rng.integers(0, 4)))]
             docs.append((len(docs), " ".join(words + more)))
-    found = simhash.copies_of(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, found)) == _copies_by_brute_force(docs)
+    assert _kept(simhash.copies_of(spark.createDataFrame(docs, "doc_id long, text string"))) == _copies_by_brute_force(docs)
 
 
-def test_close_sketches_are_checked_too(spark):
+@pytest.mark.parametrize("block", [4, 1024])
+def test_large_family_is_dealt_into_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "CROWD", 64)
+    rng = np.random.default_rng(8)
+    base = rng.choice(8000, 80).astype(str).tolist()
     docs = []
-    for seed in (18409, 38919, 115923, 153766):  # similarity 33 / 42, sketches 5 or 6 bits apart
-        words = np.random.default_rng(seed).choice(8000, 46).astype(str).tolist()
-        docs += [(len(docs), " ".join(words)), (len(docs) + 1, " ".join(words[:37]))]
-    words = docs[0][1].split()
-    docs += [(0, " ".join(words[:40] + ["other"])), (90, " ".join(words[:40] + ["more"]))]  # an id with two texts
-    found = simhash.copies_of(spark.createDataFrame(docs, "doc_id long, text string").limit(8)).collect()
-    assert sorted(map(tuple, found)) == [(i, i) for i in range(8)]
-    found = simhash.copies_of(spark.createDataFrame(docs[:1] + docs[8:], "doc_id long, text string")).collect()
-    assert (90, 0) in {tuple(r) for r in found}
+    for i in range(150):
+        words = list(base[: int(rng.integers(50, 80))])
+        for place in rng.choice(len(words), int(rng.integers(0, 5)), replace=False).tolist():
+            words[place] = f"e{rng.integers(1e6)}"
+        docs.append((i, " ".join(words)))
+    wanted = _copies_by_brute_force(docs)
+    assert 2 < len({least for _, least in wanted}) < 150
+    assert _kept(simhash.copies_of(spark.createDataFrame(docs, "doc_id long, text string").repartition(7))) == wanted
+
+
+def test_similar_links_are_those_of_all_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        base = rng.integers(0, 1 << 62, 30)
+        sets = [np.unique(np.concatenate((rng.choice(base, int(rng.integers(0, 30)), replace=False), rng.integers(0, 1 << 62, int(rng.integers(0, 4)))))).astype("<u8") for _ in range(int(rng.integers(0, 25)))]
+        group = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                a, b = set(sets[i].tolist()), set(sets[j].tolist())
+                if a == b or len(a & b) >= 0.8 * len(a | b):
+                    group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+        own = list(range(len(sets)))
+        for u, v in simhash.similar_links(sets):
+            own = [min(own[u], own[v]) if g in (own[u], own[v]) else g for g in own]
+        assert own == group
+
+
+def test_ids_with_two_texts_and_no_id(spark):
+    words = np.random.default_rng(18409).choice(8000, 46).astype(str).tolist()
+    docs = [(0, " ".join(words)), (0, " ".join(words[:40] + ["other"])), (0, " ".join(words[:20] * 3)), (90, " ".join(words[:40] + ["more"])), (None, " ".join(words)), (None, "alone without an id"), (None, "alone without an id")]
+    held = spark.createDataFrame([(*row, 1) for row in docs], "doc_id long, text string, gone int")
+    left = simhash.drop_copies(held)
+    assert left.columns == held.columns
+    # The first two and the fourth are one group, and so is the copy without an id; rows that repeat id and text stay together.
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in left.collect())
+    assert [(none, i) for none, i, _ in kept] == [(False, 0), (False, 0), (True, 0), (True, 0)] and kept[-1][2] == kept[-2][2] == docs[-1][1]
 
 
 def test_crowded_anchor_is_dealt_into_cells(spark, monkeypatch):
@@ -221,7 +247,7 @@ def test_crowded_anchor_is_dealt_into_cells(spark, monkeypatch):
     rows = [(0, 1 << i, 1 << i) for i in range(40)]
     found = simhash.links(spark.createDataFrame(rows, "table int, fp long, node long"), 4).collect()
     group = {r[1]: r[1] for r in rows}
-    for u, v, _ in found:
+    for u, v in found:
         old, new = group[u], group[v]
         group = {k: new if g == old else g for k, g in group.items()}
     assert len(set(group.values())) == 1
