@@ -4,13 +4,18 @@ Large-star / small-star rounds (Kiveris et al., "Connected Components in
 MapReduce and Beyond", 2014).  Each round is two aggregations and two joins over
 the edge table; no neighbourhood is ever gathered into one row.  Partial ``min``
 aggregation and a broadcast of the few keys that hold a large share of the edges
-keep a hub's edges from meeting in one task.  Every round is written to the
-shared folder and the one before removed, so neither the plan nor the disk grows.
-The rounds end when every node hangs on its component's least.
+keep a hub's edges from meeting in one task.  Before the rounds every task turns its
+own edges into stars, which settles what fits one task at once.  Every round is
+written to the shared folder and the one before removed, so neither the plan nor the
+disk grows.  The rounds end when every node hangs on its component's least.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from netspark.plans.skew import join_counted
@@ -33,6 +38,48 @@ def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     return joined.union(low.select("u", F.col("m").alias("v")))
 
 
+#: Edges a task holds before it turns them into stars.
+HELD = 1 << 21
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges that are not their component's least node, and that node."""
+    nodes, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = ends[: u.size], ends[u.size :]
+    label = np.arange(nodes.size)
+    while True:
+        over, under = label[a], label[b]
+        least = np.minimum(over, under)
+        new = label.copy()
+        for at in (a, b, over, under):
+            np.minimum.at(new, at, least)
+        while (jump := new[new]).tobytes() != new.tobytes():
+            new = jump
+        if (new == label).all():
+            break
+        label = new
+    own = np.flatnonzero(label != np.arange(nodes.size))
+    return nodes[own], nodes[label[own]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """``edges(u, v)`` of longs with each task's edges turned into stars."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in "uv"))
+            if sum(x.size for x, _ in held) > HELD:
+                held = [stars(*map(np.concatenate, zip(*held, strict=True)))]
+                if held[0][0].size > HELD // 2:  # hardly anything to contract
+                    yield pa.record_batch([pa.array(x) for x in held[0]], names=["u", "v"])
+                    held = []
+        if held:
+            yield pa.record_batch([pa.array(x) for x in stars(*map(np.concatenate, zip(*held, strict=True)))], names=["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def _starred(edges: DataFrame) -> bool:
     """Whether every node hangs on one other that hangs on none."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
@@ -44,12 +91,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Nodes without an edge are not listed.  Null ends and loops are ignored.
     """
-    work = (
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .filter("u is not null and v is not null and u <> v")
-        .distinct()
-    )
-    work = materialise(work, "edges")
+    work = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).filter("u is not null and v is not null and u <> v")
+    work = materialise(_contracted(work.distinct()), "edges")
     rows = work.count()
     for _ in range(max_rounds if rows else 0):
         if _starred(work):

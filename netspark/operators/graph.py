@@ -11,16 +11,21 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from netspark.operators.arcs import arcs
 from netspark.operators.components import connected_components
+from netspark.operators.ordering import dense_index
 from netspark.operators.turns import Turns
-from netspark.plans.workspace import materialise
+from netspark.plans.workspace import discard, materialise
 
-#: Arcs up to this many are sent to every task by `shortest_costs`; beyond it the relaxation runs.
+#: Networks of up to this many arcs are sent to every task (24 bytes an arc) and walked there; beyond it the relaxation runs.
 KERNEL_ARCS = 1_000_000
+#: Rounds of relaxation in one job.
+ROUNDS = 4
 
 
 def relax(steps: DataFrame, seeds: DataFrame, budget: int | None = None, turns: Turns | None = None, max_rounds: int = 100_000) -> DataFrame:
@@ -28,50 +33,182 @@ def relax(steps: DataFrame, seeds: DataFrame, budget: int | None = None, turns:
 
     ``steps(edge, src, dst, cost)`` are arcs, ``seeds(label, node)`` the start;
     the budget is inclusive.  ``turns`` refuses walks that complete a forbidden run.
+    The arcs are dealt out by their start once; only what a few rounds improved moves.
     """
     spark = steps.sparkSession
-    steps = materialise(steps.select("edge", "src", "dst", "cost"), "arcs")
+    key = ["label", "node", "state"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = materialise(steps.select("edge", "src", "dst", F.col("cost").alias("price")), "arcs").repartition(parts, "src").persist()
     table = None if turns is None or turns.empty else turns.table(spark)
-    best = materialise(seeds.select("label", "node").distinct().withColumns({"state": F.lit(0), "cost": F.lit(0).cast("long")}), "best")
-    frontier = best
-    for _ in range(max_rounds):
-        walked = frontier.join(steps, frontier["node"] == steps["src"]).select("label", "edge", F.col("dst").alias("node"), "state", (frontier["cost"] + steps["cost"]).alias("cost"))
+
+    def walk(frontier: DataFrame) -> DataFrame:
+        walked = frontier.join(held, F.col("node") == F.col("src")).select("label", "edge", F.col("dst").alias("node"), "state", (F.col("cost") + F.col("price")).alias("cost"))
         if budget is not None:
             walked = walked.filter(F.col("cost") <= budget)
         if table is not None:  # bounded by the total length of the runs
             walked = walked.join(F.broadcast(table), ["state", "edge"], "left").filter(~F.coalesce("refused", F.lit(False))).select("label", "node", F.coalesce("next", F.lit(0)).alias("state"), "cost")
-        found = walked.groupBy("label", "node", "state").agg(F.min("cost").alias("cost"))
-        old = best.select("label", "node", "state", F.col("cost").alias("old"))
-        frontier = materialise(found.join(old, ["label", "node", "state"], "left").filter("old is null or cost < old").drop("old"), "frontier")
-        if frontier.isEmpty():
-            return best
-        best = materialise(best.unionByName(frontier).groupBy("label", "node", "state").agg(F.min("cost").alias("cost")), "best")
-    raise RuntimeError(f"relaxation did not settle in {max_rounds} rounds")
+        return walked.groupBy(*key).agg(F.min("cost").alias("cost"))
+
+    try:
+        best = materialise(seeds.select("label", "node").distinct().withColumns({"state": F.lit(0), "cost": F.lit(0).cast("long")}), "best")
+        frontier = best
+        for _ in range(0, max_rounds, ROUNDS):
+            found = reached = walk(frontier)
+            for _ in range(ROUNDS - 1):
+                reached = walk(reached)
+                found = found.unionByName(reached)
+            found = found.groupBy(*key).agg(F.min("cost").alias("cost"))
+            old = best.select(*key, F.col("cost").alias("old"))
+            frontier = materialise(found.join(old, key, "left").filter("old is null or cost < old").drop("old"), "frontier")
+            if frontier.isEmpty():
+                return best
+            wider = materialise(best.join(frontier.select(*key), key, "left_anti").unionByName(frontier), "best")
+            discard(best)
+            best = wider
+        raise RuntimeError(f"relaxation did not settle in {max_rounds} rounds")
+    finally:
+        held.unpersist()
+
+
+class Walker:
+    """Arcs by their start, as arrays, for walks inside a task."""
+
+    def __init__(self, edge: np.ndarray, src: np.ndarray, dst: np.ndarray, cost: np.ndarray):
+        order = np.argsort(src, kind="stable")
+        self.nodes, ends = np.unique(np.concatenate((src, dst)), return_inverse=True)
+        src, dst = ends[: src.size][order], ends[src.size :][order]
+        self.first = np.searchsorted(src, np.arange(self.nodes.size + 1)).tolist()
+        self.edge, self.dst, self.cost = edge[order].tolist(), dst.tolist(), cost[order].tolist()
+
+    def index(self, node: int) -> int | None:
+        at = int(np.searchsorted(self.nodes, node))
+        return at if at < self.nodes.size and self.nodes[at] == node else None
+
+    def costs(self, seeds: list[int], budget: int | None = None, turns: Turns | None = None, target: int | None = None, came: dict | None = None) -> dict[tuple[int, int], int]:
+        """Least cost of each (node index, state) from the node ids; ``came`` gets the (place before, arc) of each."""
+        best = {(at, 0): 0 for x in seeds if (at := self.index(x)) is not None}
+        heap = [(0, at, 0) for at, _ in best]
+        goal = None if target is None else self.index(target)
+        first, edge, dst, price = self.first, self.edge, self.dst, self.cost
+        while heap:
+            cost, node, state = heapq.heappop(heap)
+            if cost > best[node, state]:
+                continue
+            if goal is not None and node == goal:
+                break
+            for arc in range(first[node], first[node + 1]):
+                more = cost + price[arc]
+                if budget is not None and more > budget:
+                    continue
+                following = 0 if turns is None else turns.advance(state, edge[arc])
+                if following is None:
+                    continue
+                place = (dst[arc], following)
+                if more < best.get(place, 1 << 62):
+                    best[place] = more
+                    if came is not None:
+                        came[place] = ((node, state), arc)
+                    heapq.heappush(heap, (more, *place))
+        return best
+
+    def reached(self, seeds: list[int], budget: int | None = None, turns: Turns | None = None) -> dict[int, int]:
+        """``edge: at`` of every edge that can be crossed: the least cost at its far end."""
+        out: dict[int, int] = {}
+        for (node, state), cost in self.costs(seeds, budget, turns).items():
+            for arc in range(self.first[node], self.first[node + 1]):
+                at = cost + self.cost[arc]
+                if (budget is None or at <= budget) and at < out.get(self.edge[arc], 1 << 62) and (turns is None or turns.advance(state, self.edge[arc]) is not None):
+                    out[self.edge[arc]] = at
+        return out
+
+    def path(self, origin: int, target: int, turns: Turns | None = None) -> tuple[int, list[int]] | None:
+        """Least cost and the edges in order, or None where there is no way."""
+        if origin == target:
+            return 0, []
+        goal, came = self.index(target), {}
+        ends = [(cost, state) for (node, state), cost in self.costs([origin], None, turns, target, came).items() if node == goal]
+        if goal is None or not ends:
+            return None
+        cost, state = min(ends)
+        place, edges = (goal, state), []
+        while place in came:
+            place, arc = came[place]
+            edges.append(self.edge[arc])
+        return cost, edges[::-1]
+
+
+def walker(steps: DataFrame) -> Broadcast | None:
+    """A ``Walker`` of ``steps(edge, src, dst, cost)`` for every task, if they are at most ``KERNEL_ARCS``."""
+    rows = steps.select("edge", "src", "dst", "cost").limit(KERNEL_ARCS + 1).toArrow()  # the size is checked by reading one more
+    if rows.num_rows > KERNEL_ARCS:
+        return None
+    return steps.sparkSession.sparkContext.broadcast(tuple(rows.column(c).to_numpy().astype(np.int64) for c in ("edge", "src", "dst", "cost")))
+
+
+def _walks(held: Broadcast, seeds: DataFrame, budget: int | None, turns: Turns | None) -> DataFrame:
+    """``label, edge, at`` of every label's trace, each in one task."""
+    kind = dict(seeds.dtypes)["label"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Walker(*held.value)
+        for frame in frames:
+            for label, nodes in zip(frame.label, frame.nodes, strict=True):
+                found = own.reached([int(x) for x in nodes], budget, turns)
+                yield pd.DataFrame({"label": label, "edge": np.fromiter(found, np.int64, len(found)), "at": np.fromiter(found.values(), np.int64, len(found))})
+
+    return seeds.groupBy("label").agg(F.collect_set("node").alias("nodes")).mapInPandas(run, f"label {kind}, edge long, at long")
 
 
 def trace(edges: DataFrame, seeds: DataFrame, direction: str = "forward", budget: int | None = None, turns: Turns | None = None) -> DataFrame:
     """``label, edge, at``: every edge that can be crossed, and the cost at its far end.
 
     Restrictions are turned round for ``backward`` and do not hold for ``both``.
+    Networks of at most ``KERNEL_ARCS`` arcs are walked in the tasks, a label in each;
+    larger ones are relaxed, all labels at once.
     """
-    held = None if turns is None or direction == "both" else turns.reversed() if direction == "backward" else turns
-    steps = materialise(arcs(edges, direction), "arcs")
+    if budget is not None and budget < 0:
+        raise ValueError("a budget is at least 0")
+    held = None if turns is None or turns.empty or direction == "both" else turns.reversed() if direction == "backward" else turns
+    steps = arcs(edges, direction).select("edge", "src", "dst", "cost")
+    small = walker(steps)
+    if small is not None:
+        return _walks(small, seeds, budget, held)
+    steps = materialise(steps, "arcs")
     best = relax(steps, seeds, budget, held)
     reached = best.join(steps, best["node"] == steps["src"]).select("label", "edge", "state", (best["cost"] + steps["cost"]).alias("at"))
     if budget is not None:
         reached = reached.filter(F.col("at") <= budget)
-    if held is not None and not held.empty:
+    if held is not None:
         reached = reached.join(F.broadcast(held.table(edges.sparkSession)), ["state", "edge"], "left").filter(~F.coalesce("refused", F.lit(False)))
     return reached.groupBy("label", "edge").agg(F.min("at").alias("at"))
 
 
+def downstream(edges: DataFrame, seeds: DataFrame, turns: Turns | None = None) -> DataFrame:
+    """What the seeds feed."""
+    return trace(edges, seeds, "forward", turns=turns)
+
+
+def upstream(edges: DataFrame, seeds: DataFrame, turns: Turns | None = None) -> DataFrame:
+    """What feeds the seeds."""
+    return trace(edges, seeds, "backward", turns=turns)
+
+
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """What hangs together with the seeds, whatever the direction."""
+    return trace(edges, seeds, "both")
+
+
+def isochrone(edges: DataFrame, seeds: DataFrame, budget: int, turns: Turns | None = None) -> DataFrame:
+    """What can be reached within a budget."""
+    return trace(edges, seeds, "forward", budget, turns)
+
+
 def edge_components(edges: DataFrame) -> DataFrame:
     """``edge, label``: components numbered from 0 in the order of their least node."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
     found = connected_components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
     rooted = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    roots = rooted.select("component").distinct()
-    ranked = roots.withColumn("label", (F.row_number().over(Window.orderBy("component")) - 1).cast("int"))
+    ranked = dense_index(rooted.select("component").distinct(), "component", "label").withColumn("label", F.col("label").cast("int"))
     return edges.join(rooted, edges["src"] == rooted["node"]).join(ranked, "component").select("edge", "label")
 
 
@@ -96,10 +233,21 @@ def allocation(edges: DataFrame, sources: DataFrame, direction: str = "forward",
 
 def hops(edges: DataFrame, seed: int, budget: int | None = None) -> DataFrame:
     """``node, hops``: undirected hop counts from one node."""
-    spark = edges.sparkSession
-    one = edges.withColumn("cost", F.lit(1).cast("long"))
-    found = relax(arcs(one, "both"), spark.createDataFrame([(0, seed)], "label int, node long"), budget)
-    return found.groupBy("node").agg(F.min("cost").alias("hops"))
+    seeds = edges.sparkSession.createDataFrame([(0, seed)], "label int, node long")
+    steps = arcs(edges.withColumn("cost", F.lit(1).cast("long")), "both").select("edge", "src", "dst", "cost")
+    small = walker(steps)
+    if small is None:
+        return relax(steps, seeds, budget).groupBy("node").agg(F.min("cost").alias("hops"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            own = Walker(*small.value)
+            for node in frame.node:
+                found = own.costs([int(node)], budget) if own.index(int(node)) is not None else {}
+                rest = {} if found else {int(node): 0}
+                yield pd.DataFrame({"node": [*(int(own.nodes[at]) for at, _ in found), *rest], "hops": [*found.values(), *rest.values()]})
+
+    return seeds.mapInPandas(run, "node long, hops long")
 
 
 def bridges(edges: DataFrame) -> DataFrame:
@@ -145,50 +293,76 @@ def bridges(edges: DataFrame) -> DataFrame:
     return labelled.groupBy("label").applyInPandas(run, "edge long")
 
 
-def shortest_costs(edges: DataFrame, legs: DataFrame, direction: str = "forward") -> DataFrame:
-    """``leg, origin, target, cost`` of ``legs(leg, origin, target)``; unreachable targets have no cost.
+def shortest_paths(edges: DataFrame, legs: DataFrame, direction: str = "forward", turns: Turns | None = None) -> DataFrame:
+    """``leg, origin, target, cost, edges`` of ``legs(leg, origin, target)``: the least cost and the edges walked, in order.
 
-    Small networks are sent to the tasks (their size is checked) and each leg runs
-    Dijkstra there; larger ones are relaxed, all legs at once.
+    Unreachable targets have no cost.  Walks that complete a forbidden run are
+    refused.  Of several ways of equal cost any is given.  Up to ``KERNEL_ARCS``
+    arcs each leg is walked in a task; beyond that the legs are relaxed all at once
+    and the ways are traced back an edge of every leg at a time.
     """
-    steps = materialise(arcs(edges, direction), "arcs")
-    if steps.count() > KERNEL_ARCS:
-        found = relax(steps, legs.select(F.col("leg").alias("label"), F.col("origin").alias("node")))
-        return legs.join(found, (found["label"] == legs["leg"]) & (found["node"] == legs["target"]), "left").select("leg", "origin", "target", "cost")
-    around: dict[int, list[tuple[int, int]]] = {}
-    for row in steps.select("src", "dst", "cost").toLocalIterator():  # at most KERNEL_ARCS rows
-        around.setdefault(row["src"], []).append((row["dst"], row["cost"]))
-    shared = edges.sparkSession.sparkContext.broadcast(around)
-
-    def run(frames):
+    held = None if turns is None or turns.empty else turns
+    steps = arcs(edges, direction).select("edge", "src", "dst", "cost")
+    small = walker(steps)
+    if small is None:
+        return _relaxed_paths(materialise(steps, "arcs"), legs, held)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Walker(*small.value)
         for frame in frames:
-            frame["cost"] = pd.array([_dijkstra(shared.value, a, b) for a, b in zip(frame.origin, frame.target)], dtype="Int64")
+            found = [own.path(int(a), int(b), held) for a, b in zip(frame.origin, frame.target, strict=True)]
+            frame["cost"] = pd.array([None if x is None else x[0] for x in found], dtype="Int64")
+            frame["edges"] = [None if x is None else x[1] for x in found]
             yield frame
 
-    return legs.select("leg", "origin", "target").mapInPandas(run, "leg int, origin long, target long, cost long")
+    return legs.select("leg", "origin", "target").mapInPandas(run, "leg int, origin long, target long, cost long, edges array<long>")
 
 
-def _dijkstra(around: dict, origin: int, target: int) -> int | None:
-    best, heap = {origin: 0}, [(0, origin)]
-    while heap:
-        cost, node = heapq.heappop(heap)
-        if node == target:
-            return cost
-        if cost > best[node]:
-            continue
-        for other, more in around.get(node, ()):
-            if cost + more < best.get(other, 1 << 62):
-                best[other] = cost + more
-                heapq.heappush(heap, (cost + more, other))
-    return None
-
-
-def plan_route(edges: DataFrame, waypoints: list[int]) -> DataFrame:
-    """``leg, origin, target, cost, reached_at`` along waypoints in order."""
+def _relaxed_paths(steps: DataFrame, legs: DataFrame, turns: Turns | None) -> DataFrame:
+    spark = steps.sparkSession
+    best = materialise(relax(steps, legs.select(F.col("leg").alias("label"), F.col("origin").alias("node")), None, turns), "best")
+    ends = best.groupBy("label", "node").agg(F.min(F.struct("cost", "state")).alias("end"))
+    goals = legs.join(ends, (F.col("label") == F.col("leg")) & (F.col("node") == F.col("target")), "left")
+    goals = materialise(goals.select("leg", "origin", "target", F.col("end.cost").alias("cost"), F.col("end.state").alias("state"), F.when(F.col("end").isNotNull(), F.array().cast("array<long>")).alias("edges")), "goals")
+    done = goals.filter("cost is null or origin = target").select("leg", "origin", "target", "cost", "edges")
+    open_ = goals.filter("cost is not null and origin <> target").withColumns({"node": F.col("target"), "at": F.col("cost")})
+    moves = None if turns is None else turns.table(spark)
+    while not open_.isEmpty():
+        before = best.select(F.col("label").alias("leg"), F.col("node").alias("src"), F.col("state").alias("was"), F.col("cost").alias("from_cost"))
+        back = open_.join(steps.withColumnRenamed("cost", "own"), F.col("node") == F.col("dst")).join(before, ["leg", "src"]).filter(F.col("from_cost") + F.col("own") == F.col("at"))
+        if moves is not None:
+            back = back.join(F.broadcast(moves.withColumnRenamed("state", "was")), ["was", "edge"], "left").filter(~F.coalesce("refused", F.lit(False)) & (F.coalesce("next", F.lit(0)) == F.col("state")))
+        step = back.groupBy("leg").agg(F.min(F.struct("edge", "src", "was", "from_cost")).alias("b"))
+        moved = open_.join(step, "leg").select("leg", "origin", "target", "cost", F.col("b.was").alias("state"), F.concat(F.array("b.edge"), "edges").alias("edges"), F.col("b.src").alias("node"), F.col("b.from_cost").alias("at"))
+        moved = materialise(moved, "traced")
+        done = done.unionByName(moved.filter("node = origin and at = 0").select("leg", "origin", "target", "cost", "edges"))
+        open_ = moved.filter("not (node = origin and at = 0)")
+    return done
+
+
+def shortest_costs(edges: DataFrame, legs: DataFrame, direction: str = "forward", turns: Turns | None = None) -> DataFrame:
+    """``leg, origin, target, cost`` of ``legs(leg, origin, target)``; unreachable targets have no cost."""
+    return shortest_paths(edges, legs, direction, turns).drop("edges")
+
+
+def plan_route(edges: DataFrame, waypoints: list[int], turns: Turns | None = None) -> DataFrame:
+    """``leg, origin, target, cost, edges, reached_at`` along waypoints in order.
+
+    Fewer than two waypoints, one that is no node, or a leg without a way is an error.
+    """
     if len(waypoints) < 2:
         raise ValueError("a route needs two waypoints")
+    spark = edges.sparkSession
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    known = {r["node"] for r in nodes.join(F.broadcast(spark.createDataFrame([(x,) for x in sorted(set(waypoints))], "node long")), "node", "left_semi").distinct().collect()}
+    if strange := [x for x in waypoints if x not in known]:
+        raise ValueError(f"no such node: {strange[0]}")
     rows = [(i, a, b) for i, (a, b) in enumerate(zip(waypoints, waypoints[1:]))]
-    found = shortest_costs(edges, edges.sparkSession.createDataFrame(rows, "leg int, origin long, target long"))
+    found = materialise(shortest_paths(edges, spark.createDataFrame(rows, "leg int, origin long, target long"), turns=turns), "legs")
+    lost = found.filter("cost is null").orderBy("leg").first()
+    if lost is not None:
+        raise ValueError(f"no way from {lost['origin']} to {lost['target']}")
+    # One row a waypoint: a short table by its nature.
     return found.withColumn("reached_at", F.sum("cost").over(Window.orderBy("leg").rowsBetween(Window.unboundedPreceding, 0)))
 
 
