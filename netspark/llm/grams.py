@@ -11,11 +11,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from netspark.plans.workspace import materialise
 
 SEPARATOR = 0x20
+#: Bytes that are scored at a time.
+PART = 1 << 20
+#: Characters of a fitting sample's texts of one label, beside its bound on rows.
+SAMPLE_CHARS = 8_000_000
+#: Labels that a model can tell apart; a model holds 256 KB for each.
+MOST_LABELS = 256
 
 
 def fold(keep_digits: bool = True, keep_marks: bool = False) -> np.ndarray:
@@ -50,20 +56,25 @@ def buckets(data: np.ndarray, sizes: tuple[int, ...], bits: int) -> Iterator[tup
             yield n, mixed >> np.uint32(32 - bits)
 
 
-def sums(places: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Sums of each stretch ``begins[i]..begins[i + 1]`` of rows; no stretch is empty."""
-    return np.add.reduceat(places, begins[:-1], axis=0, dtype=np.float64)
-
-
 def table_scores(texts: list[str | None], weights: np.ndarray, sizes: tuple[int, ...], bits: int, table: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Summed weights of each text's n-grams (one column a class) and their number; an n-gram of separators alone doesn't count."""
+    """Summed weights of each text's n-grams (one column a class) and their number; an n-gram of separators alone doesn't count.
+
+    Long data are taken a part at a time, each with the bytes behind that its last n-grams reach into.
+    """
     data, begins = stream(texts, table, lower)
-    total = np.zeros((data.size, weights.shape[1]), np.float32)
-    number = np.zeros(data.size, np.float32)
-    for n, bucket, valid in valid_buckets(data, sizes, bits):
-        total[: bucket.size] += weights[bucket] * valid[:, None]
-        number[: bucket.size] += valid
-    return sums(total, begins), sums(number, begins)
+    sum_, count = np.zeros((len(texts), weights.shape[1])), np.zeros(len(texts))
+    for a in range(0, int(begins[-1]), PART):
+        places = min(PART, int(begins[-1]) - a)
+        total, number = np.zeros((places, weights.shape[1]), np.float32), np.zeros(places, np.float32)
+        for _, bucket, valid in valid_buckets(data[a : a + places + sizes[-1] - 1], sizes, bits):
+            bucket, valid = bucket[:places], valid[:places]
+            total[: bucket.size] += weights[bucket] * valid[:, None]
+            number[: bucket.size] += valid
+        first, last = np.searchsorted(begins, a, "right") - 1, np.searchsorted(begins, a + places, "left")
+        edges = np.clip(begins[first : last + 1] - a, 0, places)
+        sum_[first:last] += np.add.reduceat(total, edges[:-1], axis=0, dtype=np.float64)
+        count[first:last] += np.add.reduceat(number, edges[:-1], dtype=np.float64)
+    return sum_, count
 
 
 def valid_buckets(data: np.ndarray, sizes: tuple[int, ...], bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -85,23 +96,28 @@ def bags(texts: list[str], sizes: tuple[int, ...], bits: int, table: np.ndarray,
         yield ids, counts, int(counts.sum())
 
 
-def candidates(docs: DataFrame, longest: int) -> DataFrame:
-    """``doc_id, mark`` of texts of 1 to ``longest`` characters; the mark is a hash of id and text. No text leaves the scan."""
-    return docs.filter(F.length("text").between(1, longest) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("mark"))
+def candidates(docs: DataFrame, *more: str) -> DataFrame:
+    """``doc_id, mark, chars`` and ``more`` of texts that are not empty; the mark is a hash of id and text. No text leaves the scan."""
+    return docs.filter((F.length("text") > 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("mark"), F.length("text").alias("chars"), *more)
 
 
-def sample(docs: DataFrame, marked: DataFrame, per_label: int) -> tuple[list[str], list]:
-    """Texts and labels of a bounded sample to fit on: at most ``per_label`` documents of each label.
+def sample(docs: DataFrame, marked: DataFrame, per_label: int, most_chars: int = SAMPLE_CHARS) -> tuple[list[str], list]:
+    """Whole texts and labels of a bounded sample to fit on: at most ``per_label`` documents of each label.
 
-    ``marked`` holds ``doc_id, mark, label`` rows.  The least marks are taken, so
-    the sample does not depend on how the table is stored; only the chosen ids (a
-    bounded number) are sent to the scan that fetches their texts.  The number of
-    labels is the number of values that can be learned.
+    ``marked`` holds ``doc_id, mark, chars, label`` rows; rows that repeat a document
+    count once.  Those of the least marks are taken whatever their length, until their
+    texts hold ``most_chars`` characters (the first is taken in any case), so the
+    sample does not depend on how the table is stored.  Only the chosen ids (a bounded
+    number) are sent to the scan that fetches their texts.  Over ``MOST_LABELS``
+    labels are an error, as every label's texts and weights go through the driver.
     """
-    marked = materialise(marked.filter("label is not null"), "marked")
-    chosen = []
-    for row in sorted(marked.select("label").distinct().collect()):
-        chosen += marked.filter(F.col("label") == F.lit(row["label"])).orderBy("mark", "doc_id").limit(per_label).collect()
+    marked = marked.filter("label is not null").groupBy("doc_id", "mark").agg(F.max("chars").alias("chars"), F.min("label").alias("label"))
+    order = Window.partitionBy("label").orderBy("mark", "doc_id")
+    ranked = materialise(marked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_label), "marked")
+    if ranked.select("label").distinct().count() > MOST_LABELS:
+        raise ValueError(f"over {MOST_LABELS} labels to learn")
+    upto = F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    chosen = ranked.withColumn("upto", upto).filter((F.col("upto") <= most_chars) | (F.col("rank") == 1)).collect()  # at most per_label * MOST_LABELS rows
     if not chosen:
         return [], []
     wanted = {(r["doc_id"], r["mark"]): r["label"] for r in chosen}

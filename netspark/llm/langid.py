@@ -6,15 +6,18 @@ frequency.  Training is follow-the-regularised-leader with an elastic-net penalt
 (so most weights stay exactly zero), followed by one temperature fitted on
 documents kept aside, which turns the top probability into a confidence.
 
-The fit takes a bounded sample (``PER_LANGUAGE`` documents of each language, of at
-most ``LONGEST`` characters); document frequencies are counted over every whole
-text outside the held-out fold that has a language, and prediction reads every
-whole text.
+The fit takes a bounded sample (the parameter ``per_language``, whole texts);
+document frequencies are counted over every whole text outside the held-out fold
+that has a language, and prediction reads every whole text, a part of bounded size
+at a time.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 if nothing can be learned every text is ``und``; a null ``doc_id`` has
-``held_out`` false and takes no part in the fit; repeated rows give repeated rows;
-an empty table gives an empty table; other columns are ignored.
+``held_out`` false and takes no part in the fit; repeated rows give repeated rows
+and count once in the fitting sample; an empty table gives an empty table; more
+than 256 languages to learn are an error; other columns are ignored, but that
+``drop_unidentified`` keeps them as they are (without a model it keeps nothing, as
+every text is ``und``).
 """
 
 from __future__ import annotations
@@ -28,10 +31,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from netspark.llm.arrow_text import slices
-from netspark.llm.grams import bags, fold, residue, sample, table_scores
+from netspark.llm.grams import bags, candidates, fold, residue, sample, table_scores
 
 PER_LANGUAGE = 1500
-LONGEST = 10_000
 BITS = 16
 SIZES = (1, 2, 3, 4)
 UNKNOWN = "und"
@@ -133,13 +135,12 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return seen[:-1], int(seen[-1])
 
 
-def learn(docs: DataFrame, folds: int = 4, held_fold: int = 2) -> Languages | None:
-    """Fit on a bounded sample of documents with a language outside the held-out fold, with the document frequencies of them all."""
-    known = docs.filter(F.col("lang").isNotNull() & (residue(F.col("doc_id").cast("long"), folds) != held_fold))
-    mark = F.xxhash64(F.col("doc_id").cast("long"), "text")
-    ready = known.filter(F.length("text").between(1, LONGEST) & F.col("doc_id").isNotNull())
-    texts, langs = sample(docs, ready.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), F.col("lang").alias("label")), PER_LANGUAGE)
-    return fit(texts, langs, frequencies=document_frequencies(known.filter(F.col("doc_id").isNotNull()))) if texts else None
+def learn(docs: DataFrame, folds: int = 4, held_fold: int = 2, per_language: int = PER_LANGUAGE) -> Languages | None:
+    """Fit on at most ``per_language`` documents of each language outside the held-out fold, with the document frequencies of them all."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (residue(F.col("doc_id").cast("long"), folds) != held_fold))
+    marked = candidates(known, "lang").withColumnRenamed("lang", "label")
+    texts, langs = sample(docs, marked, per_language)
+    return fit(texts, langs, frequencies=document_frequencies(known)) if texts else None
 
 
 def _named(model: Languages | None, batch: pa.RecordBatch, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

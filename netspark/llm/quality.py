@@ -11,14 +11,16 @@ A document's expected grade is the sum of its tail probabilities;
 ``tail_probability`` is the chance of a grade of at least ``SELECT_GRADE``, and
 ``selected`` keeps what reaches ``SELECT_CHANCE``.
 
-The fit takes a bounded sample (``PER_GRADE`` documents of each grade, of at most
-``LONGEST`` characters); scoring reads every whole text.
+The fit takes a bounded sample (the parameter ``per_grade``, whole texts); scoring
+reads every whole text, a part of bounded size at a time.
 
 Defined results: a null or empty text has no features and gets the thresholds'
-own grade; null ratings take no part; if fewer than two grades are rated, every
-document has that grade (or grade 0) and is selected; a null ``doc_id`` is scored
-but not learned from; repeated rows give repeated rows; an empty table gives an
-empty table; other columns are ignored.
+own grade; null ratings take no part; if only one grade is rated, every document
+has that grade, and grade 0 if none is; so it is selected if that grade is at
+least ``SELECT_GRADE``.  A null ``doc_id`` is scored but not learned from; of
+several ratings of a document the least counts; repeated rows give repeated rows
+and count once in the fit; an empty table gives an empty table; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,6 @@ from netspark.llm.arrow_text import slices
 from netspark.llm.grams import bags, candidates, fold, residue, sample, table_scores
 
 PER_GRADE = 2000
-LONGEST = 10_000
 BITS = 16
 SIZES = (1, 2, 3, 4)
 SELECT_GRADE = 1
@@ -109,11 +110,11 @@ def rating(quality: Column, toxic: Column) -> Column:
     return F.when(quality == 0, 0).when((quality == 1) & (toxic == 1), 1).when((quality == 1) & (toxic == 0), 2)
 
 
-def learn(docs: DataFrame, ratings: DataFrame, folds: int = 5, held_fold: int = 0) -> Grades:
-    """Fit on a bounded sample of ``ratings(doc_id, grade)`` outside the held-out fold."""
+def learn(docs: DataFrame, ratings: DataFrame, folds: int = 5, held_fold: int = 0, per_grade: int = PER_GRADE) -> Grades:
+    """Fit on at most ``per_grade`` documents of each grade of ``ratings(doc_id, grade)`` outside the held-out fold."""
     marks = ratings.filter("doc_id is not null and grade is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     rated = marks.filter(residue(F.col("doc_id"), folds) != held_fold).withColumnRenamed("grade", "label")
-    texts, grades = sample(docs, candidates(docs, LONGEST).join(rated, "doc_id"), PER_GRADE)
+    texts, grades = sample(docs, candidates(docs).join(rated, "doc_id"), per_grade)
     return fit(texts, np.array(grades, np.int64))
 
 

@@ -10,12 +10,14 @@ first on all windows, then on each document's highest window.
 Because the head is linear, a document is scored through one number a bucket, and
 a gradient reaches the embeddings as one number a bucket too.
 
-The fit takes a bounded sample (``PER_LABEL`` documents of each label, of at most
-``LONGEST`` characters); scoring reads every whole text.
-
-Defined results: a null or empty text, or one without words, has score 0; a null ``doc_id`` has ``held_out`` false and takes
-no part in the fit; null labels take no part; without both labels the score is 0;
-repeated rows give repeated rows; other columns are ignored.
+The fit takes a bounded sample (the parameter ``per_label``, whole texts); scoring
+reads every whole text, a part of bounded size at a time.
+
+Defined results: a null or empty text, or one without words, has score 0; a null
+``doc_id`` has ``held_out`` false and takes no part in the fit; null labels take no
+part; without both labels the score is 0; repeated rows give repeated rows and
+count once in the fit; an empty table gives an empty table; other columns are
+ignored, but that ``drop_toxic`` keeps them as they are.
 """
 
 from __future__ import annotations
@@ -28,10 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from netspark.llm.arrow_text import slices
-from netspark.llm.grams import SEPARATOR, buckets, candidates, fold, residue, sample, stream
+from netspark.llm.grams import PART, SEPARATOR, buckets, candidates, fold, residue, sample, stream
 
-PER_LABEL = 2500
-LONGEST = 8_000
+PER_LABEL = 4000
 BITS = 16
 SIZES = (3, 4, 5, 6)
 WORDS = 16
@@ -72,13 +73,19 @@ class Toxicity:
         data, begins = stream(texts, _FOLD)
         edges, owner = windows(data, begins)
         out = np.full(len(texts), -np.inf)
-        if owner.size:
-            total, number = np.zeros(data.size, np.float32), np.zeros(data.size, np.float32)
-            for bucket, valid in subwords(data):
+        sums, counts = np.zeros(owner.size), np.zeros(owner.size)
+        for a in range(int(edges[0]), data.size, PART):
+            places = min(PART, data.size - a)
+            total, number = np.zeros(places, np.float32), np.zeros(places, np.float32)
+            for bucket, valid in subwords(data[a : a + places + SIZES[-1] - 1]):
+                bucket, valid = bucket[:places], valid[:places]
                 total[: bucket.size] += self.bucket[bucket] * valid
                 number[: bucket.size] += valid
-            mean = np.add.reduceat(total, edges[:-1], dtype=np.float64) / np.maximum(np.add.reduceat(number, edges[:-1], dtype=np.float64), 1)
-            np.maximum.at(out, owner, mean)
+            first, last = np.searchsorted(edges, a, "right") - 1, np.searchsorted(edges, a + places, "left")
+            begins = np.clip(edges[first : last + 1] - a, 0, places)[:-1]
+            sums[first:last] += np.add.reduceat(total, begins, dtype=np.float64)
+            counts[first:last] += np.add.reduceat(number, begins, dtype=np.float64)
+        np.maximum.at(out, owner, sums / np.maximum(counts, 1))
         return np.where(np.isinf(out), 0.0, 1 / (1 + np.exp(-np.clip(out + self.bias, -60, 60))))
 
 
@@ -141,7 +148,7 @@ def fit(texts: list[str], toxic: np.ndarray, size: int = 16, rounds: int = 24, r
     usable = np.arange(held.size)
     for turn in range(rounds):
         if turn == 0:
-            chosen = np.concatenate([rng.permutation(usable[toxic[owner[usable]] == c])[:40_000] for c in (1, 0)])
+            chosen = usable
         else:
             order = np.lexsort((means(), owner))
             chosen = order[np.append(owner[order][1:] != owner[order][:-1], True)]
@@ -151,17 +158,17 @@ def fit(texts: list[str], toxic: np.ndarray, size: int = 16, rounds: int = 24, r
     return Toxicity((vectors @ (soft[1] - soft[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0) -> Toxicity:
-    """Fit on a bounded sample of labelled documents outside the held-out fold."""
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, per_label: int = PER_LABEL) -> Toxicity:
+    """Fit on at most ``per_label`` documents of each label outside the held-out fold."""
     marks = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.filter(residue(F.col("doc_id"), folds) != held_fold)
-    marked = candidates(docs, LONGEST).join(marks.withColumnRenamed("toxic", "label"), "doc_id")
-    texts, toxic = sample(docs, marked, PER_LABEL)
+    marked = candidates(docs).join(marks.withColumnRenamed("toxic", "label"), "doc_id")
+    texts, toxic = sample(docs, marked, per_label)
     return fit(texts, np.array(toxic, np.int64))
 
 
 def score_documents(docs: DataFrame, model: Toxicity, folds: int = 5, held_fold: int = 0) -> DataFrame:
-    """All columns of ``docs`` but the text, with ``held_out, score, predicted``."""
+    """``doc_id, held_out, score, predicted`` of every document."""
     # 256 KB of bucket values whatever the corpus.
     shared = docs.sparkSession.sparkContext.broadcast((model.bucket, model.bias))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", F.coalesce(residue(docs["doc_id"].cast("long"), folds) == held_fold, F.lit(False)).alias("held_out"))
