@@ -9,17 +9,20 @@ for every row, a least and a greatest possible score; rows whose greatest score
 below the k-th least one are proven out, and once one in sixteen remains those are rescored
 exactly.  Without such a proof the walk runs to its end, so the result is exact.
 
-Queries and rows meet in cells of one query block and one row block, joined on
-both numbers, so no side is collected or broadcast; each cell returns at most k
-rows a query.
-
-Defined results: vectors null, empty, or holding a null or non-finite component
-take no part; vectors with a component of ``LARGEST`` or more after scaling (sums of
-products and the walk's counters could pass a long) stand in blocks of their own and are scored
-exactly without the walk; a score among the best that does not fit a long is an error, as
-in SQL; a query only meets vectors of its own length; a null id takes no part; rows with a repeated id are one candidate each but never meet a
-query of the same id; fewer than k candidates give all; an empty table gives an
-empty table; other columns are ignored.
+A block's index (its values and the order of its rows in every dimension) is built
+once and written.  Query blocks are sent to every block of their length and stream
+past it in the task that holds it, so the rows are moved once, nothing is broadcast,
+and each block returns at most k rows a query.  Work grows with queries times rows,
+as an exact search's does; the proof only lessens it.
+
+Defined results: vectors null or holding a null or non-finite component take no
+part, nor does a null id; vectors with a component of ``LARGEST`` or more after
+scaling (sums of products and the walk's counters could pass a long) stand in blocks
+of their own and are scored exactly without the walk; a score among the best that
+does not fit a long is an error, as in SQL; a query only meets vectors of its own
+length, of length 0 as well; every row is a candidate but the query's own, so of rows
+that repeat an id each is a query and a candidate of the others; fewer than k
+candidates give all; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,74 +40,81 @@ from netspark.plans.workspace import materialise
 
 SCALE = 256.0
 LARGEST = 1 << 24
+#: Rows of a block; a place in it fits 16 bits.
 ROWS = 8192
 QUERIES = 512
 LEVELS = 4
 FEW = 64
-BLOCK = "dim int, task int, number int, ids binary, values binary"
+BLOCK = "dim int, block long, ids binary, own binary, values binary, ranked binary"
 
 
 def scaled(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
-    """``vec_id, dim, v, w``: floor(scale * x) of the vectors that take part, in ``w`` for those with a large component, else in ``v``."""
+    """``vec_id, own, dim, v, w``: a number of the row, and floor(scale * x) of the vectors that take part, in ``w`` for those with a large component, else in ``v``."""
     x = F.col("embedding")
     sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
     narrow = F.forall(x, lambda c: F.abs(c.cast("double") * scale) < LARGEST)
     v = F.when(narrow, F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("int")))
     # Doubles of 2 ** 52 and over are whole, and may be too large for a long.
     w = F.when(~narrow, F.transform(x, lambda c: F.when(F.abs(c.cast("double") * scale) < float(1 << 52), F.floor(c.cast("double") * scale).cast("double")).otherwise(c.cast("double") * scale)))
-    return vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0)).filter(sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.size(x).alias("dim"), v.alias("v"), w.alias("w"))
+    return vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull()).filter(sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("own"), F.size(x).alias("dim"), v.alias("v"), w.alias("w"))
 
 
-def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows packed by length into blocks of at most ``size``, one binary row each; 4 bytes a value, 8 in blocks of ``w``."""
+def blocks(rows: DataFrame, size: int, indexed: bool) -> DataFrame:
+    """Rows packed by length into blocks of at most ``size``, one binary row each; 4 bytes a value, 8 in blocks of ``w``.
+
+    ``ranked`` holds the places of an ``indexed`` block's rows by ascending value, dimension by dimension.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
-        held: dict[tuple[int, str], tuple[list, list]] = {}
+        held: dict[tuple[int, str], list[list]] = {}
 
-        def packed(dim: int, ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([dim], pa.int32()), pa.array([task], pa.int32()), pa.array([number], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([values.astype("<f8" if values.dtype.kind == "f" else "<i4").tobytes()])], names=["dim", "task", "number", "ids", "values"])
+        def packed(dim: int, ids: np.ndarray, own: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            narrow = values.dtype.kind != "f"
+            ranked = np.argsort(values, axis=0, kind="stable").T.astype("<u2").tobytes() if indexed and narrow else b""
+            raw = (ids.astype("<i8").tobytes(), own.astype("<i8").tobytes(), values.astype("<i4" if narrow else "<f8").tobytes(), ranked)
+            return pa.record_batch([pa.array([dim], pa.int32()), pa.array([(task << 32) + number], pa.int64()), *(pa.array([x], pa.binary()) for x in raw)], names=["dim", "block", "ids", "own", "values", "ranked"])
 
         for batch in batches:
             dims = batch.column("dim").to_numpy(zero_copy_only=False)
-            ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
+            ids, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "own"))
             wide = batch.column("v").is_null().to_numpy(zero_copy_only=False)
             for dim, column in product(np.unique(dims).tolist(), "vw"):
                 at = np.flatnonzero((dims == dim) & (wide == (column == "w")))
                 if not at.size:
                     continue
-                values = batch.column(column).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                a, b = held.setdefault((dim, column), ([], []))
-                a.append(ids[at])
-                b.append(values)
-                if sum(map(len, a)) >= size:
-                    every, rows = np.concatenate(a), np.concatenate(b)
-                    while len(every) >= size:
-                        yield packed(dim, every[:size], rows[:size])
-                        number += 1
-                        every, rows = every[size:], rows[size:]
-                    held[dim, column] = ([every], [rows])
-        for (dim, _), (a, b) in held.items():
-            if sum(map(len, a)):
-                yield packed(dim, np.concatenate(a), np.concatenate(b))
-                number += 1
+                values = batch.column(column).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(at.size, dim)
+                parts = held.setdefault((dim, column), [[], [], []])
+                for part, more in zip(parts, (ids[at], own[at], values), strict=True):
+                    part.append(more)
+                if sum(map(len, parts[0])) >= size:
+                    whole = [np.concatenate(x) for x in parts]
+                    while len(whole[0]) >= size:
+                        yield packed(dim, *(x[:size] for x in whole))
+                        whole = [x[size:] for x in whole]
+                    held[dim, column] = [[x] for x in whole]
+        for (dim, _), parts in held.items():
+            if sum(map(len, parts[0])):
+                yield packed(dim, *map(np.concatenate, parts))
 
     return rows.mapInArrow(run, BLOCK)
 
 
 class ImpactIndex:
-    """One block's rows by dimension and descending quantised value."""
+    """One block's rows by dimension and ascending value; ``ranked`` are their places, sorted anew without it."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray, levels: int = LEVELS):
-        self.ids, self.values = ids, values.astype(np.int64)
-        self.order = np.ascontiguousarray(np.argsort(self.values, axis=0, kind="stable").T)  # by dimension, ascending value
+    def __init__(self, ids: np.ndarray, own: np.ndarray, values: np.ndarray, ranked: np.ndarray | None = None, levels: int = LEVELS):
+        self.ids, self.own, self.values = ids, own, values.astype(np.int64)
+        self.order = np.ascontiguousarray(np.argsort(self.values, axis=0, kind="stable").T) if ranked is None else ranked.astype(np.int64)
         self.sorted = np.take_along_axis(self.values.T, self.order, axis=1)
         self.levels = levels
 
-    def top(self, name: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def top(self, row: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows but the query's own: exact, ties to the smaller id."""
         query = query.astype(np.int64)
-        other = self.ids != name
+        other = self.own != row
         n = int(other.sum())
         if not n:
             return self.ids[:0], self.ids[:0]
@@ -151,51 +161,55 @@ class ImpactIndex:
 
 def _values(raw: bytes, rows: int, dim: int) -> np.ndarray:
     """A block's values: 32-bit integers, or doubles that hold whole numbers."""
-    return np.frombuffer(raw, "<f8" if len(raw) == rows * dim * 8 else "<i4").reshape(-1, dim)
+    return np.frombuffer(raw, "<f8" if dim and len(raw) == rows * dim * 8 else "<i4").reshape(rows, dim)
 
 
-def exact_top(ids: np.ndarray, values: np.ndarray, name: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+def exact_top(ids: np.ndarray, own: np.ndarray, values: np.ndarray, row: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
     """``ImpactIndex.top`` by exact sums of any size over all rows, as pairs of id and score."""
-    if float(np.abs(values).max()) * float(np.abs(query).max()) * query.size < 1 << 52:
+    if not query.size:
+        score = np.zeros(ids.size, np.int64)
+    elif float(np.abs(values).max()) * float(np.abs(query).max()) * query.size < 1 << 52:
         score = values.astype(np.int64) @ query.astype(np.int64)
     else:
         whole = np.frompyfunc(int, 1, 1)
         score = whole(values) @ whole(query)
-    best = nsmallest(k, ((-s, i) for i, s in zip(ids.tolist(), score.tolist(), strict=True) if i != name))
+    best = nsmallest(k, ((-s, i) for i, o, s in zip(ids.tolist(), own.tolist(), score.tolist(), strict=True) if o != row))
     if any(not -(1 << 63) <= -s < 1 << 63 for s, _ in best):
-        raise OverflowError(f"a score of vector {name} does not fit a long")
+        raise OverflowError(f"a score of row {row} does not fit a long")
     return [(i, -s) for s, i in best]
 
 
 def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the ids divisible by ``query_every`` against all rows."""
     rows = materialise(scaled(vectors), "scaled")
-    index = materialise(blocks(rows, ROWS), "blocks")
-    asked = materialise(blocks(rows.filter(F.col("vec_id") % query_every == 0), QUERIES), "queries")
-    left = asked.select("dim", F.struct("task", "number").alias("asked")).distinct()
-    right = index.select("dim", F.struct("task", "number").alias("block")).distinct()
-    # Both sides are repeated for each block of the other, so cells are dealt evenly by (query block, row block).
-    cells_of_rows = index.select("dim", F.struct("task", "number").alias("block"), F.col("ids").alias("r_ids"), F.col("values").alias("r_values")).join(left, "dim")
-    cells_of_queries = asked.select("dim", F.struct("task", "number").alias("asked"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values")).join(right, "dim")
-    cells = cells_of_rows.join(cells_of_queries, ["dim", "asked", "block"]).select("dim", "r_ids", "r_values", "q_ids", "q_values")
+    index = materialise(blocks(rows, ROWS, indexed=True), "index")
+    asked = materialise(blocks(rows.filter(F.col("vec_id") % query_every == 0), QUERIES, indexed=False), "queries")
+    # Every query block goes to each row block of its length, behind the block itself.
+    sent = asked.withColumnRenamed("block", "part").join(index.select("dim", "block"), "dim").withColumn("asks", F.lit(1))
+    met = index.withColumn("part", F.lit(0).cast("long")).withColumn("asks", F.lit(0)).unionByName(sent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple = ()
         for batch in batches:
             for i in range(batch.num_rows):
-                dim, r_ids, r_values, q_ids, q_values = (batch.column(c)[i].as_py() for c in range(5))
-                rows, names = np.frombuffer(r_ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                values, queries = _values(r_values, rows.size, dim), _values(q_values, names.size, dim)
-                narrow = values.dtype.kind == queries.dtype.kind == "i"
-                index = ImpactIndex(rows, values) if narrow else None
+                asks, dim, ids, own, values, ranked = (batch.column(c)[i].as_py() for c in ("asks", "dim", "ids", "own", "values", "ranked"))
+                ids, own = np.frombuffer(ids, "<i8"), np.frombuffer(own, "<i8")
+                values = _values(values, ids.size, dim)
+                if not asks:
+                    index = ImpactIndex(ids, own, values, np.frombuffer(ranked, "<u2").reshape(dim, ids.size)) if ranked else None
+                    held = ids, own, values, index
+                    continue
+                r_ids, r_own, r_values, index = held
+                narrow = index is not None and values.dtype.kind == "i"
                 out: list[tuple] = []
-                for name, query in zip(names.tolist(), queries, strict=True):
-                    if index is None:
-                        out += [(name, a, b) for a, b in exact_top(rows, values, name, query, k)]
-                        continue
-                    ids, scores = index.top(name, query, k)
-                    out += [(name, a, b) for a, b in zip(ids.tolist(), scores.tolist(), strict=True)]
-                yield pa.record_batch([pa.array([x[j] for x in out], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
-
-    found = cells.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                for name, row, query in zip(ids.tolist(), own.tolist(), values, strict=True):
+                    if narrow:
+                        found, scores = index.top(row, query, k)
+                        out += [(row, name, a, b) for a, b in zip(found.tolist(), scores.tolist(), strict=True)]
+                    else:
+                        out += [(row, name, a, b) for a, b in exact_top(r_ids, r_own, r_values, row, query, k)]
+                yield pa.record_batch([pa.array([x[j] for x in out], pa.int64()) for j in range(4)], names=["own", "query_id", "vec_id", "score"])
+
+    found = met.repartition("block").sortWithinPartitions("block", "asks").mapInArrow(run, "own long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("own").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -276,6 +276,10 @@ def test_sharding(spark, odd, real):
         assert found.groupby("shard")["slot"].apply(lambda s: sorted(s) == list(range(len(s)))).all()
     sizes = found.groupby("shard")["size"].sum()
     assert sizes.max() - sizes.min() <= found["size"].max()
+    for name in ("id", "cast(null as long)", "7"):
+        hot = spark.range(6000).selectExpr(f"case when id % 3 = 0 then {name} else id end as doc_id", "case when id % 3 = 0 then 'the same text' else concat('text ', id) end as text", "1 as number", "'x' as shard")
+        sizes = sharding.shard_by_size(hot).groupBy("shard").sum("size").toPandas()["sum(size)"]
+        assert len(sizes) == 16 and sizes.max() <= 1.02 * sizes.mean()
     hot = spark.range(3000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'the same text' else concat('text ', id) end as text")
     sizes = sharding.shard_by_size(hot).groupBy("shard").sum("size").toPandas()["sum(size)"]
     assert len(sizes) == 16 and sizes.max() <= 1.02 * sizes.mean()
@@ -287,13 +291,34 @@ def test_topk_matches_sql_and_brute_force(spark):
     for _ in range(100):
         rows, width = int(rng.integers(1, 40)), int(rng.integers(1, 6))
         values, query = rng.integers(-4, 5, (rows, width)).astype(np.int32), rng.integers(-3, 4, width)
-        ids, scores = impactsearch.ImpactIndex(np.arange(rows), values).top(0, query, 5)
+        ids, scores = impactsearch.ImpactIndex(np.arange(rows), np.arange(rows), values).top(0, query, 5)
         every = sorted(((-int(values[i] @ query), i) for i in range(1, rows)))[:5]
         assert list(zip((-scores).tolist(), ids.tolist())) == every
     odd = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (50, [2.0, 1.0]), (51, [1.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in impactsearch.top_k(odd).collect()) == [(0, 1, 50, 4 * 256 * 256), (50, 1, 0, 4 * 256 * 256)]
 
 
+def test_topk_of_repeated_ids_empty_vectors_and_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(impactsearch, "ROWS", 7)
+    monkeypatch.setattr(impactsearch, "QUERIES", 3)
+    rng = np.random.default_rng(6)
+    rows = [(int(i), rng.integers(-3, 4, 2).astype(float).tolist()) for i in rng.choice([0, 1, 2, 50, 51, 100], 40)]
+    rows += [(50, []), (7, []), (8, []), (50, [70000.0, 1.0]), (50, [70000.0, 1.0])]
+    wanted = []
+    for n, (q, x) in enumerate(rows):
+        if q % 50 == 0:
+            best = sorted((-sum(int(a * 256) * int(b * 256) for a, b in zip(x, y)), i) for m, (i, y) in enumerate(rows) if m != n and len(x) == len(y))[:5]
+            wanted += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    table = spark.createDataFrame([(*row, "x", 1) for row in rows], "vec_id long, embedding array<double>, own string, block int").repartition(3)
+    found = impactsearch.top_k(table)
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    con = duck(SF)
+    con.register("found", table.select("vec_id", "embedding").toPandas())
+    con.execute("CREATE OR REPLACE VIEW embeddings AS SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM found")
+    assert sorted(con.execute(queries.ORACLE_SQL["op8_topk"]).fetchall()) == sorted(wanted)
+    assert impactsearch.top_k(table.limit(0)).count() == 0
+
+
 def test_topk_keeps_large_components(spark):
     rng = np.random.default_rng(5)
     vectors = rng.normal(0, 1, (60, 3))
