@@ -9,8 +9,10 @@ the likeness of one document to another is the share of its own length whose
 chunks the other also has (containment).
 
 The next document by descending id is met without gathering anything: ids are cut
-into ranges, each range is sorted in one task, and only the first row of a range
-is also sent to the range before it.
+into ranges, each range is sorted in one task and streams through it, and only the
+first row of a range is also sent to the range before it.  An id that fills whole
+ranges by itself, such as null, is cut by the hash of its texts; rows that are equal
+in id and text stay in one range.
 
 Defined results: a null text counts as empty; an empty text has fingerprint ""
 and likeness 1 to an empty text, 0 to any other; null ids come last (as least),
@@ -21,19 +23,25 @@ columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from netspark.llm.sharding import numbers, range_of
+
 SHORTEST, NORMAL, LONGEST = 12, 32, 128
 STRICT_BITS, LOOSE_BITS = 6, 4
-#: Characters of text a range of ids holds about.
+#: Characters of text a range of ids holds about; beyond MOST_RANGES ranges, which go through the driver, they hold more and stream for longer.
 RANGE_CHARS = 8 << 20
-MOST_RANGES = 20_000
+MOST_RANGES = 50_000
+_NO_ID = -(1 << 63)
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _RNG = np.random.default_rng(977)
 _GEAR = _RNG.integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -80,14 +88,15 @@ def chunks(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct chunk digests of a text, ascending, and the bytes each stands for."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     if not data.size:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     ends = np.asarray(boundaries(data), np.int64)
     begins = np.concatenate(([0], ends[:-1]))
     power, inverse = _powers(data.size)
     total = np.zeros(data.size + 1, np.uint64)
     np.cumsum(_VALUE[data] * power[: data.size], out=total[1:])
     digest = (total[ends] - total[begins]) * inverse[begins]
-    digest = ((digest ^ (digest >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
+    digest = (digest ^ (digest >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    digest ^= digest >> np.uint64(32)
     names, of = np.unique(digest, return_inverse=True)
     return names, np.bincount(of, weights=ends - begins, minlength=names.size).astype(np.int64)
 
@@ -102,60 +111,63 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def written(print_: tuple[np.ndarray, np.ndarray]) -> str:
-    """The fingerprint as text: each digest and length in hexadecimal."""
-    return " ".join(f"{a:08x}:{b:x}" for a, b in zip(print_[0].tolist(), print_[1].tolist(), strict=True))
+    """The fingerprint as text: each chunk's digest (64 bits in base 64) and length in hexadecimal."""
+    coded = base64.urlsafe_b64encode(print_[0].astype(">u8").view(np.uint8).reshape(-1, 8).repeat([1] * 7 + [2], axis=1).tobytes()).decode()  # 12 signs each; the last byte again fills the last
+    return " ".join(f"{coded[12 * i : 12 * i + 11]}:{n:x}" for i, n in enumerate(print_[1].tolist()))
 
 
-def _ranges(docs: DataFrame) -> list[int]:
-    """Upper ends of the id ranges but the last, ascending."""
-    facts = docs.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 64).alias("chars"), F.count("*").alias("rows")).first()
+def _dealt(keyed: DataFrame) -> DataFrame:
+    """``keyed(doc_id, text, order, hash)`` with ``part`` from 0, the range of each row; those of the greatest ids first."""
+    facts = keyed.agg(F.sum(F.length("text") + 64).alias("chars")).first()
     number = int(min(MOST_RANGES, max(1, (facts["chars"] or 0) // RANGE_CHARS)))
-    if number == 1:
-        return []
     shares = [i / number for i in range(1, number)]
-    cuts = docs.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(-(1 << 63))), shares, 20 * number).alias("q")).first()["q"]
-    return sorted(set(cuts))
+    cuts = keyed.agg(F.percentile_approx("order", shares, 20 * number).alias("q")).first()["q"] if shares else []
+    if not cuts:
+        return keyed.withColumn("part", F.lit(0))
+    # Upper ends of ranges, and how many ranges each closes: an id that is several cuts fills as many by itself.
+    same = Counter(cuts)
+    ends = sorted(same)
+    begins = [0, *accumulate(same[x] for x in ends)]
+    which = range_of(F.col("order"), [x + 1 for x in ends if x < (1 << 63) - 1]) + 1
+    at, many, end = (F.element_at(numbers(x, "bigint"), which) for x in (begins, [*(same[x] for x in ends), 1], [*ends, 0]))
+    # Hashes are even, so the rows of such an id are cut at even steps of them.
+    step = F.least(many - 1, F.floor((F.col("hash").cast("double") / float(1 << 64) + 0.5) * many))
+    upwards = at + F.when((F.col("order") == end) & (many > 1), step).otherwise(0)
+    return keyed.withColumn("part", (F.lit(begins[-1]) - upwards).cast("int"))
 
 
 def print_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likenesses."""
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    cuts = _ranges(keyed)
-    # Range 0 holds the greatest ids.
-    listed = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
-    part = (F.lit(len(cuts)) - F.size(F.filter(listed, lambda x: x < order))).cast("int") if cuts else F.lit(0)
-    spread = keyed.withColumn("part", part)
-    firsts = [tuple(r) for r in spread.groupBy("part").agg(F.max(order).alias("id")).orderBy("part").collect()]  # one row a range
+    keyed = keyed.withColumn("order", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn("hash", F.xxhash64("text"))
+    spread = _dealt(keyed)
+    # The first row of each range, one row a range: the greatest id, ties to the greatest hash.
+    firsts = [(r["part"], r["top"]["order"], r["top"]["hash"]) for r in spread.groupBy("part").agg(F.max(F.struct("order", "hash")).alias("top")).orderBy("part").collect()]
     if not firsts:
         return keyed.mapInArrow(lambda batches: iter(()), SCHEMA)
-    # The first documents of a range also close the range before it; those of the first close the last.
-    before = {firsts[i][0]: firsts[i - 1][0] for i in range(len(firsts))}
-    target = F.split(F.lit(",".join(str(before.get(i, -1)) for i in range(len(cuts) + 1))), ",").cast("array<int>")
-    first = F.split(F.lit(",".join(str(dict(firsts).get(i, 0)) for i in range(len(cuts) + 1))), ",").cast("array<bigint>")
-    lead = F.element_at(first, F.col("part") + 1) == order
-    copies = F.when(lead, F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("tail")), F.struct(F.element_at(target, F.col("part") + 1).alias("part"), F.lit(1).alias("tail")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("tail"))))
-    dealt = spread.select("doc_id", "text", F.explode(copies).alias("to")).select("doc_id", "text", F.col("to.part").alias("part"), F.col("to.tail").alias("tail"))
-    dealt = dealt.repartition(len(firsts), "part").sortWithinPartitions("part", "tail", F.desc(order), F.xxhash64("text"), "text")
+    # It also closes the range before it; that of the first range closes the last.
+    ends = docs.sparkSession.createDataFrame([(part, order, hash_, firsts[i - 1][0]) for i, (part, order, hash_) in enumerate(firsts)], "part int, order long, hash long, closes int")
+    leading = spread.join(F.broadcast(ends), ["part", "order", "hash"]).select("doc_id", "text", "order", "hash", F.col("closes").alias("part"))
+    # Rows that repeat it are equal in id and hash; the greatest text of them comes first, and one of it is enough.
+    closing = leading.groupBy("part").agg(F.max(F.struct("text", "doc_id", "order", "hash")).alias("x")).select("x.doc_id", "x.text", "x.order", "x.hash", "part", F.lit(1).alias("tail"))
+    dealt = spread.select("doc_id", "text", "order", "hash", "part", F.lit(0).alias("tail")).unionByName(closing)
+    dealt = dealt.repartition(len(firsts), "part").sortWithinPartitions("part", "tail", F.desc("order"), F.desc("hash"), F.desc("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, closed, out, size = None, False, [], 0
+        held, out, size = None, [], 0
         for batch in batches:
-            for name, text, part, tail in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "tail")), strict=True):
-                if tail and closed == part and closed is not False:
-                    continue  # more documents with the id that closes this range
+            for name, text, tail in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "tail")), strict=True):
                 own = chunks(text)
                 if held is not None:
                     out.append(_compare(held, (name, text, own)))
                     size += len(text)
                 held = None if tail else (name, text, own)
-                closed = part if tail else False
                 if size > 1 << 20:
                     yield _batch(out)
                     out, size = [], 0
         yield _batch(out)
 
-    return dealt.mapInArrow(run, SCHEMA)
+    return dealt.select("doc_id", "text", "tail").mapInArrow(run, SCHEMA)
 
 
 def _compare(this: tuple, after: tuple) -> tuple:
