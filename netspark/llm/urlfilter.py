@@ -6,10 +6,13 @@ naive Bayes trained on the urls that have one.  Host names run words together, s
 each distinct label is cut into words by a unigram Viterbi first; the unigrams are
 counted over the visible words of all pages.
 
-Everything that grows stays distributed: labels, their candidate substrings and
-the word counts meet in joins on the substring, and one label's candidates (at
-most ``LONGEST_WORD`` times its length) are all that is gathered.  Naive Bayes
-keeps its counts in ``2 ** BITS`` hashed bins, a fixed size.
+Everything that grows stays distributed: only page words that are a substring of
+some label are counted, labels, their substrings and the counts meet in joins that
+take frequent keys aside, and one label's known substrings are all that is gathered.
+A word has at most ``LONGEST_WORD`` characters, which is as long as a label of a
+host name can be; what is longer in a made-up label is cut into several.  Naive Bayes
+keeps its counts in ``2 ** BITS`` hashed bins, a fixed size.  Words and tokens are
+runs of letters of any script, or single digits.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no
 rule, and the verdict of the class prior; with no rule hit at all to learn from,
@@ -27,11 +30,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from netspark.plans.skew import checked, join_counted
 from netspark.plans.workspace import materialise
 
 BITS = 18
-LONGEST_WORD = 20
-_TOKEN = r"[a-z]+|[0-9]"
+LONGEST_WORD = 63
+_TOKEN = r"(\p{L}+|\p{N})"
 
 
 def parse(url: Column) -> tuple[Column, Column]:
@@ -71,21 +75,32 @@ def viterbi(label: str, logs: dict[str, float], unknown: float) -> list[str]:
     return words[::-1]
 
 
-def unigrams(pages: DataFrame) -> DataFrame:
-    """``word, n``: visible words of all pages, lower-cased letters."""
+def unigrams(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``word, n``: how often each ``wanted(word)`` is a visible word of the pages, lower-cased; one row has a null word and the number of all words."""
     plain = F.lower(F.regexp_replace("html", r"<[^>]*>", " "))
-    words = pages.select(F.explode(F.split(plain, r"[^a-z]+")).alias("word"))
-    return words.filter(F.length("word").between(1, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
+    words = pages.select(F.explode(F.split(plain, r"[^\p{L}]+")).alias("word")).filter("word <> ''")
+    held = words.join(checked(wanted), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    return held.union(words.agg(F.lit(None).cast("string").alias("word"), F.count("*").alias("n")))
 
 
-def segment(labels: DataFrame, words: DataFrame) -> DataFrame:
-    """``label, words`` for distinct host labels, by unigram Viterbi."""
+def substrings(labels: DataFrame) -> DataFrame:
+    """``label, word``: the distinct substrings of at most ``LONGEST_WORD`` characters of each label."""
     size = F.length("label")
-    places = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), size - i + 1)), lambda n: F.col("label").substr(i, n))))
-    candidates = labels.filter(size > 0).select("label", F.explode(F.array_distinct(places)).alias("word"))
-    known = candidates.join(words, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    total = float(words.agg(F.sum("n")).first()[0] or 1)
-    ready = labels.filter(size > 0).join(known, "label", "left")
+    at = labels.filter(size > 0).select("label", F.explode(F.sequence(F.lit(1), size)).alias("i"))
+    longest = F.least(F.lit(LONGEST_WORD), size - F.col("i") + 1)
+    return at.select("label", F.explode(F.transform(F.sequence(F.lit(1), longest), lambda n: F.col("label").substr(F.col("i"), n))).alias("word")).distinct()
+
+
+def segment(labels: DataFrame, pages: DataFrame) -> DataFrame:
+    """``label, words`` for distinct host labels, by unigram Viterbi over the pages' words."""
+    candidates = materialise(substrings(labels), "substrings")
+    wanted = materialise(candidates.groupBy("word").agg(F.count("*").alias("labels")), "wanted")
+    counted = materialise(unigrams(pages, wanted.select("word")), "unigrams")
+    total = float(counted.filter("word is null").first()["n"] or 1)
+    weighed = materialise(wanted.join(counted.filter("word is not null"), "word"), "weighed")
+    known = join_counted(candidates, weighed, "word", "labels", candidates.count())
+    known = known.groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    ready = labels.filter(F.length("label") > 0).join(known, "label", "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unknown = math.log(0.1 / total)
@@ -110,13 +125,16 @@ def judge(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
     rule, verdict = match(F.col("host"), F.col("path"), rules)
     ruled = parsed.withColumn("rule", rule).withColumn("given", verdict)
     # Distinct hosts, their labels, and the words of each label.
-    hosts = parsed.select("host").distinct()
-    pieces = hosts.select("host", F.posexplode(F.regexp_extract_all("host", F.lit(r"([a-z]+|[0-9]+)"), 1)).alias("place", "label"))
-    cut = segment(pieces.select("label").distinct(), materialise(unigrams(pages), "unigrams"))
-    by_host = materialise(pieces.join(cut, "label").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "words"))).alias("parts")).select("host", F.flatten(F.col("parts.words")).alias("words")), "segmented")
-    on_path = F.transform(F.regexp_extract_all(F.lower("path"), F.lit(f"({_TOKEN})"), 1), lambda t: F.concat(F.lit("/"), t))
+    hosts = materialise(parsed.groupBy("host").agg(F.count("*").alias("urls")), "hosts")
+    pieces = materialise(hosts.select("host", F.posexplode(F.regexp_extract_all("host", F.lit(r"(\p{L}+|\p{N}+)"), 1)).alias("place", "label")), "pieces")
+    labels = materialise(pieces.groupBy("label").agg(F.count("*").alias("hosts")), "labels")
+    cut = materialise(segment(labels.select("label"), pages).join(labels, "label"), "cut")
+    parts = join_counted(pieces, cut, "label", "hosts", pieces.count())
+    by_host = parts.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "words"))).alias("parts")).select("host", F.flatten(F.col("parts.words")).alias("words"))
+    by_host = materialise(hosts.join(by_host, "host", "left"), "segmented")
+    on_path = F.transform(F.regexp_extract_all(F.lower("path"), F.lit(_TOKEN), 1), lambda t: F.concat(F.lit("/"), t))
     on_host = F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda t: F.concat(F.lit("."), t))
-    joined = ruled.join(by_host, "host", "left").withColumn("bins", F.transform(F.concat(on_host, on_path), _bin))
+    joined = join_counted(ruled, by_host, "host", "urls", parsed.count()).withColumn("bins", F.transform(F.concat(on_host, on_path), _bin))
     # Multinomial counts in a fixed number of bins.
     learned = ruled.filter("given is not null").groupBy("given").count().collect()  # two rows
     prior = {r["given"]: r["count"] for r in learned}
