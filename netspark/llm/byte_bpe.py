@@ -42,7 +42,7 @@ class RankedPairs:
     """Which two neighbouring ids merge, and into what; looked up by hashing."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+        self.ranks, self.names = ranks, {rank: token for token, rank in ranks.items()}
         self.bytes_to_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         found = [(ranks[token[:i]], ranks[token[i:]], rank) for token, rank in ranks.items() for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
         left, right, merged = (np.array(x, np.int64) for x in zip(*found, strict=True))
@@ -120,10 +120,9 @@ class RankedPairs:
         ids = self.bytes_to_id[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        names = {rank: token for token, rank in self.ranks.items()}
 
         def pair(i: int) -> int | None:
-            return self.ranks.get(names[ids[i]] + names[ids[after[i]]]) if after[i] != -1 else None
+            return self.ranks.get(self.names[ids[i]] + self.names[ids[after[i]]]) if after[i] != -1 else None
 
         heap = [(rank, i, ids[i], ids[i + 1]) for i in range(n - 1) if (rank := pair(i)) is not None]
         heapq.heapify(heap)

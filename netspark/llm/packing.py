@@ -22,6 +22,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
@@ -82,13 +83,15 @@ def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
     memory = _memory(path)
     flat, offsets = memory.encode(texts)
     out = [flat[a:b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
-    for name, number in memory.special.items():
+    if memory.special:
+        names = re.compile("(" + "|".join(re.escape(x) for x in sorted(memory.special, key=len, reverse=True)) + ")")
         for i, text in enumerate(texts):
-            if text and name in text:
-                parts = memory.encode(text.split(name))
-                between = [parts[0][a:b] for a, b in zip(parts[1].tolist(), parts[1][1:].tolist())]
-                mark = np.array([number], np.int32)
-                out[i] = np.concatenate([x for part in between for x in (part, mark)][:-1])
+            if text and names.search(text):
+                parts = names.split(text)  # every second part is a special token
+                plain = memory.encode(parts[::2])
+                out[i] = plain[0][: plain[1][1]]
+                for name, a, b in zip(parts[1::2], plain[1][1:].tolist(), plain[1][2:].tolist(), strict=True):
+                    out[i] = np.concatenate((out[i], np.array([memory.special[name]], np.int32), plain[0][a:b]))
     return out
 
 
@@ -117,7 +120,11 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, closi
 
 
 def nnls(columns: np.ndarray, target: np.ndarray, rounds: int | None = None) -> np.ndarray:
-    """Lawson-Hanson: the non-negative ``x`` that minimises ``|columns @ x - target|``."""
+    """Lawson-Hanson: the non-negative ``x`` that minimises ``|columns @ x - target|``.
+
+    Ends at the least, or after ``rounds`` columns have come in (three a row of
+    ``columns`` unless stated); ``x`` is then near the least, and what it leaves is packed greedily.
+    """
     n = columns.shape[1]
     x, chosen = np.zeros(n), np.zeros(n, bool)
     slack = 1e-9 * max(1.0, np.abs(target).max())

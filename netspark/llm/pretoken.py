@@ -120,6 +120,7 @@ class PieceMemory:
 
     ``encode_many`` maps distinct pieces to ``(flat ids, ids per piece)``.  At
     most ``limit`` pieces are remembered; beyond that the memory starts anew.
+    Pieces are found by a 64-bit key and then compared by all their code points.
     """
 
     def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1 << 20):
@@ -133,6 +134,7 @@ class PieceMemory:
         self.known = np.zeros(0, np.uint64)
         self.offsets = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.int32)
+        self.points, self.point_ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _table(self, bits: int) -> None:
         self.bits = bits
@@ -180,6 +182,15 @@ class PieceMemory:
             self._insert(keys, np.arange(base, self.known.size, dtype=np.int32))
         self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(counts)))
         self.flat = np.concatenate((self.flat, flat))
+        self.points = np.concatenate((self.points, np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)))
+        self.point_ends = np.concatenate((self.point_ends, self.point_ends[-1] + np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))))
+
+    def _are(self, slots: np.ndarray, cp: np.ndarray, starts: np.ndarray) -> bool:
+        """Whether the pieces that begin at ``starts`` are those remembered in ``slots``."""
+        sizes = np.diff(np.append(starts, cp.size))
+        if (self.point_ends[slots + 1] - self.point_ends[slots] != sizes).any():
+            return False
+        return bool((self.points[np.repeat(self.point_ends[slots] - starts, sizes) + np.arange(cp.size)] == cp).all())
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and the offset of each text's ids (one more than texts)."""
@@ -217,10 +228,14 @@ class PieceMemory:
             stops = np.append(starts, cp.size)[where + 1]
             self._learn(new, [joined[a:b] for a, b in zip(starts[where].tolist(), stops.tolist(), strict=True)])
             slots[missing] = self._find(keys[missing])
-        begin = self.offsets[slots]
-        counts = self.offsets[slots + 1] - begin
-        ends = np.cumsum(counts)
-        place = np.repeat(begin - (ends - counts), counts) + np.arange(ends[-1])
+        if self._are(slots, cp, starts):
+            begin = self.offsets[slots]
+            counts = self.offsets[slots + 1] - begin
+            ends = np.cumsum(counts)
+            found = self.flat[np.repeat(begin - (ends - counts), counts) + np.arange(ends[-1])]
+        else:  # two pieces have one key
+            found, counts = self.encode_many([joined[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), cp.size], strict=True)])
+            ends = np.cumsum(counts)
         edges = np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))
         by_piece = np.concatenate(([0], ends))
-        return self.flat[place], np.diff(by_piece[edges])
+        return found, np.diff(by_piece[edges])
