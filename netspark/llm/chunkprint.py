@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from netspark.llm.arrow_text import slices
 from netspark.llm.sharding import numbers, range_of
 
 SHORTEST, NORMAL, LONGEST = 12, 32, 128
@@ -154,18 +155,15 @@ def print_edits(docs: DataFrame) -> DataFrame:
     dealt = dealt.repartition(len(firsts), "part").sortWithinPartitions("part", "tail", F.desc("order"), F.desc("hash"), F.desc("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, out, size = None, [], 0
-        for batch in batches:
-            for name, text, tail in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "tail")), strict=True):
+        held = None
+        for rows, texts in slices(batches):
+            out = []
+            for name, text, tail in zip(rows.column("doc_id").to_pylist(), texts, rows.column("tail").to_pylist(), strict=True):
                 own = chunks(text)
                 if held is not None:
                     out.append(_compare(held, (name, text, own)))
-                    size += len(text)
                 held = None if tail else (name, text, own)
-                if size > 1 << 20:
-                    yield _batch(out)
-                    out, size = [], 0
-        yield _batch(out)
+            yield _batch(out)
 
     return dealt.select("doc_id", "text", "tail").mapInArrow(run, SCHEMA)
 
