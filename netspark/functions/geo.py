@@ -90,3 +90,96 @@ def ground_length(lons: Column, lats: Column) -> Column:
 
     steps = F.when(F.size(pairs) > 1, F.sequence(F.lit(1), F.size(pairs) - 1)).otherwise(F.array().cast("array<int>"))
     return F.aggregate(F.transform(steps, piece), F.lit(0.0), lambda a, b: a + b)
+
+
+def ground_length_of_fractions(xs: Column, ys: Column) -> Column:
+    """Metres of a polyline given as fractions of the world's width and height."""
+    around = 2 * math.pi * EARTH_RADIUS
+
+    def piece(i: Column) -> Column:
+        flat = F.hypot((F.element_at(xs, i + 1) - F.element_at(xs, i)) * around, (F.element_at(ys, i + 1) - F.element_at(ys, i)) * around)
+        return flat * F.cos(F.radians(latitude((F.element_at(ys, i) + F.element_at(ys, i + 1)) / 2)))
+
+    steps = F.when(F.size(xs) > 1, F.sequence(F.lit(1), F.size(xs) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(F.transform(steps, piece), F.lit(0.0), lambda a, b: a + b)
+
+
+# --- coordinate systems -------------------------------------------------------
+
+# The WGS 84 ellipsoid and the transverse Mercator scale of a UTM zone.
+_A, _F, _K0 = 6378137.0, 1 / 298.257223563, 0.9996
+_N = _F / (2 - _F)
+_MERIDIAN = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+#: Krueger's series to the fourth order, forward and back.
+_ALPHA = (
+    _N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180,
+    13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440,
+    61 * _N**3 / 240 - 103 * _N**4 / 140,
+    49561 * _N**4 / 161280,
+)
+_BETA = (
+    _N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360,
+    _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440,
+    17 * _N**3 / 480 - 37 * _N**4 / 840,
+    4397 * _N**4 / 161280,
+)
+
+
+def _zone(code: int) -> tuple[int, bool] | None:
+    """UTM zone and whether it is southern, of an EPSG code on WGS 84 or ETRS89."""
+    if 32601 <= code <= 32660:
+        return code - 32600, False
+    if 32701 <= code <= 32760:
+        return code - 32700, True
+    if 25828 <= code <= 25838:
+        return code - 25800, False
+    return None
+
+
+def _epsg(crs: str) -> int:
+    head, _, code = crs.partition(":")
+    if head.upper() != "EPSG" or not code.isdigit():
+        raise ValueError(f"'{crs}' is not an EPSG code")
+    return int(code)
+
+
+def to_degrees(crs: str, x: Column, y: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of source coordinates: EPSG:4326, 4258, 3857 and the UTM zones of WGS 84 and ETRS89."""
+    code = _epsg(crs)
+    if code in (4326, 4258):
+        return x, y
+    if code == 3857:
+        around = 2 * math.pi * EARTH_RADIUS
+        return longitude(x / around + 0.5), latitude(0.5 - y / around)
+    if (zone := _zone(code)) is None:
+        raise ValueError(f"EPSG:{code} is not known")
+    xi, eta = (y - (10_000_000.0 if zone[1] else 0.0)) / (_K0 * _MERIDIAN), (x - 500_000.0) / (_K0 * _MERIDIAN)
+    xi_, eta_ = xi, eta
+    for j, b in enumerate(_BETA, 1):
+        xi_, eta_ = xi_ - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta), eta_ - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(xi_) / F.cosh(eta_))
+    # Conformal to geodetic latitude: three steps of the fixed point settle to less than a nanodegree.
+    e = math.sqrt(_F * (2 - _F))
+    phi = chi
+    for _ in range(5):
+        phi = 2 * F.atan(F.tan(math.pi / 4 + chi / 2) * F.pow((1 + e * F.sin(phi)) / (1 - e * F.sin(phi)), F.lit(e / 2))) - math.pi / 2
+    return F.degrees(F.atan2(F.sinh(eta_), F.cos(xi_))) + (zone[0] * 6 - 183), F.degrees(phi)
+
+
+def from_degrees(crs: str, lon: Column, lat: Column) -> tuple[Column, Column]:
+    """The way back of ``to_degrees``."""
+    code = _epsg(crs)
+    if code in (4326, 4258):
+        return lon, lat
+    if code == 3857:
+        return metres(mercator_x(lon), mercator_y(lat))
+    if (zone := _zone(code)) is None:
+        raise ValueError(f"EPSG:{code} is not known")
+    e = math.sqrt(_F * (2 - _F))
+    phi, lam = F.radians(lat), F.radians(lon - (zone[0] * 6 - 183))
+    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
+    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    x, y = eta, xi
+    for j, a in enumerate(_ALPHA, 1):
+        x, y = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta), y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return _K0 * _MERIDIAN * x + 500_000.0, _K0 * _MERIDIAN * y + (10_000_000.0 if zone[1] else 0.0)

@@ -315,7 +315,7 @@ def shortest_paths(edges: DataFrame, legs: DataFrame, direction: str = "forward"
             frame["edges"] = [None if x is None else x[1] for x in found]
             yield frame
 
-    return legs.select("leg", "origin", "target").mapInPandas(run, "leg int, origin long, target long, cost long, edges array<long>")
+    return legs.select("leg", "origin", "target").mapInPandas(run, f"leg {dict(legs.dtypes)['leg']}, origin long, target long, cost long, edges array<long>")
 
 
 def _relaxed_paths(steps: DataFrame, legs: DataFrame, turns: Turns | None) -> DataFrame:

@@ -10,8 +10,15 @@ from netspark.plans.workspace import materialise
 PARTS = 64
 
 
+#: Rows a part holds at least.
+PART_ROWS = 100_000
+
+
 def _parted(rows: DataFrame, key: str, parts: int) -> DataFrame:
     """``rows`` with ``__part``, the range of ``key`` a row falls in, in the key's order; nulls come first."""
+    parts = min(parts, rows.count() // PART_ROWS)
+    if parts < 2:
+        return rows.withColumn("__part", F.lit(0))
     cuts = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts).alias("q")).first()["q"] or []
     listed = F.array(*[F.lit(x).cast(rows.schema[key].dataType) for x in sorted(set(cuts))])
     return rows.withColumn("__part", F.coalesce(F.size(F.filter(listed, lambda x: x < F.col(key))), F.lit(0)) if cuts else F.lit(0))
@@ -23,7 +30,7 @@ def running(rows: DataFrame, key: str, value: Column, name: str, ties: tuple[str
     Ranges of the key are summed each in a task, and moved by what the ranges before
     hold; only one number a range is ordered as a whole.
     """
-    held = materialise(_parted(rows.withColumn("__value", value), key, parts), "parted")
+    held = materialise(_parted(materialise(rows, "rows").withColumn("__value", value), key, parts), "parted")
     sums = held.groupBy("__part").agg(F.sum("__value").alias("__sum"))
     before = sums.withColumn("__base", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__base")  # at most `parts` rows
     inside = Window.partitionBy("__part").orderBy(F.col(key).asc_nulls_first(), *ties).rowsBetween(Window.unboundedPreceding, -1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def violations(deltas: DataFrame, channels: DataFrame, entities: DataFrame) -> DataFrame:
@@ -29,14 +29,13 @@ def slotted(deltas: DataFrame, step: float, order: str = "seq") -> DataFrame:
 
 def retained(deltas: DataFrame, step: float, slots: int, order: str = "seq") -> DataFrame:
     """What a ring of ``slots`` still holds: of each ring place, the slot written last (whole slot, all channels)."""
-    own = deltas.withColumn("slot", F.floor(F.col("t_seconds") / float(step)).cast("long"))
-    place = F.pmod("slot", F.lit(slots))
-    newest = own.groupBy(place.alias("place")).agg(F.max_by("slot", order).alias("slot"))
-    # A slot that came back after being evicted keeps only what was written since.
-    turn = Window.partitionBy(place).orderBy(order)
-    runs = own.withColumn("place", place).withColumn("new", F.coalesce((F.lag("slot").over(turn) != F.col("slot")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(turn))
-    last = runs.groupBy("place").agg(F.max("run").alias("run"))
-    return slotted(runs.join(last, ["place", "run"], "left_semi").join(newest.select("place"), "place", "left_semi"), step, order)
+    own = deltas.withColumn("slot", F.floor(F.col("t_seconds") / float(step)).cast("long")).withColumn("place", F.pmod("slot", F.lit(slots)))
+    # A slot that came back after being evicted keeps only what was written since the last write of any other.
+    tops = own.groupBy("place", "slot").agg(F.max(order).alias("top"))
+    last = tops.groupBy("place").agg(F.max(F.struct("top", "slot")).alias("last")).select("place", F.col("last.slot").alias("kept"))
+    others = tops.join(last, "place").filter("slot <> kept").groupBy("place").agg(F.max("top").alias("breaker"))
+    ring = F.broadcast(last.join(others, "place", "left"))  # one row a place of the ring
+    return slotted(own.join(ring, "place").filter(F.col("slot") == F.col("kept")).filter(F.col("breaker").isNull() | (F.col(order) > F.col("breaker"))), step, order)
 
 
 def sample(state: DataFrame, step: float, t: float, interpolated: bool) -> DataFrame:

@@ -60,7 +60,15 @@ class Turns:
         return spark.createDataFrame(rows, "state int, edge long, next int, refused boolean")
 
 
-def runs_of(edges: DataFrame, column: str) -> DataFrame:
-    """``edge, run`` of a text column: ``"77 91>34"`` on edge e means runs [e, 77] and [e, 91, 34]."""
-    runs = edges.filter(F.col(column).isNotNull()).select("edge", F.explode(F.split(F.trim(column), r"\s+")).alias("text")).filter("text <> ''")
-    return runs.select("edge", F.concat(F.array("edge"), F.transform(F.split("text", ">"), lambda x: x.try_cast("bigint"))).alias("run")).filter(~F.exists("run", lambda x: x.isNull()))
+def runs_of(edges: DataFrame, column: str, known: DataFrame | None = None) -> DataFrame:
+    """``edge, run`` of a text column: ``"77 91>34"`` on edge e means runs [e, 77] and [e, 91, 34].
+
+    The numbers are edges of ``edges``, or ids of ``known(edge, id)``; a run that names
+    one that is not there is dropped, the others stay.
+    """
+    ids = edges.select("edge", F.col("edge").cast("string").alias("id")) if known is None else known
+    told = edges.filter(F.col(column).isNotNull()).select("edge", F.posexplode(F.split(F.trim(column), r"\s+")).alias("nth", "text")).filter("text <> ''")
+    each = told.select("edge", "nth", F.posexplode(F.split("text", ">")).alias("at", "id"))
+    found = each.join(ids.select(F.col("edge").alias("step"), "id"), "id", "left")
+    whole = found.groupBy("edge", "nth").agg(F.sort_array(F.collect_list(F.struct("at", "step"))).alias("steps"), F.count("*").alias("n"), F.count("step").alias("there")).filter("n = there")
+    return whole.select("edge", F.concat(F.array("edge"), F.transform("steps", lambda s: s["step"])).alias("run"))
