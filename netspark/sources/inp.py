@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from netspark.functions import geo, values
 from netspark.operators.compile import declared_channels
+from netspark.plans.workspace import materialise
 
 
 @dataclass(frozen=True)
@@ -141,15 +142,17 @@ def entities(rows: DataFrame, dialect: Dialect, crs: str) -> DataFrame:
     A file of the other dialect, a number that is none, and a node without
     coordinates are errors.
     """
-    held = sections(rows)
+    held = materialise(sections(rows), "sections")
     if not rows_of(held, *dialect.foreign).isEmpty():
         raise ValueError(f"this is no {dialect.owner} network: it has {' or '.join(dialect.foreign)}")
+    # The first field of each row that should be a number and is none.
+    wrong = F.lit(None).cast("string")
     for section, names in {**dialect.nodes, **dialect.links, **dialect.folded}.items():
         skip = 1 if section in (*dialect.nodes, *dialect.folded) else 3
-        for at, name in enumerate(names):
-            if name.startswith("#"):
-                value = F.try_element_at("fields", F.lit(skip + at + 1))
-                _fail(rows_of(held, section).filter(value.isNotNull() & value.try_cast("double").isNull()).withColumn("what", value), f"not a number in {section}")
+        fields = [F.try_element_at("fields", F.lit(skip + at + 1)) for at, name in enumerate(names) if name.startswith("#")]
+        bad = F.coalesce(*(F.when(f.isNotNull() & f.try_cast("double").isNull(), f) for f in fields), F.lit(None).cast("string"))
+        wrong = F.when(F.col("section") == section, bad).otherwise(wrong)
+    _fail(rows_of(held, *dialect.expressed).withColumn("what", wrong).filter("what is not null"), "not a number")
     spots = rows_of(held, "COORDINATES", "VERTICES")
     x, y = F.try_element_at("fields", F.lit(2)).try_cast("double"), F.try_element_at("fields", F.lit(3)).try_cast("double")
     _fail(spots.filter(x.isNull() | y.isNull()).withColumn("what", F.col("raw")), "not a coordinate")
