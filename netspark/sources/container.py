@@ -432,10 +432,11 @@ def read_extra(payload: bytes) -> tuple[str, str, bytes]:
     return payload[a : a + n].decode(), payload[b : b + m].decode(), payload[c : c + k]
 
 
-def _text(value) -> str:
+def _text(row: dict) -> str:
+    """A row's values as JSON texts, in one JSON object."""
     import json
 
-    return json.dumps(value, ensure_ascii=False)
+    return json.dumps({k: json.dumps(v, ensure_ascii=False) for k, v in row.items()}, ensure_ascii=False)
 
 
 def read(spark: SparkSession, path: str, magic: bytes) -> Network:
@@ -454,8 +455,7 @@ def _network(files: DataFrame, magic: bytes) -> Network:
 
     schema = "part string, a decimal(20,0), b long, c long, d long, flag boolean, text string, more string, low double, high double, points array<struct<qx:int,qy:int>>, payload binary"
     rows = materialise(files.mapInPandas(run, schema), "container")
-    props = F.coalesce(F.from_json("text", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    texts = F.transform_values(props, lambda k, v: F.to_json(v))
+    texts = F.coalesce(F.from_json("text", "map<string,string>"), F.create_map().cast("map<string,string>"))
     nodes = rows.filter("part = 'node'").select(F.col("b").cast("int").alias("node_idx"), F.col("a").alias("node_id"), F.col("low").alias("lon"), F.col("high").alias("lat"), texts.alias("properties"))
     edges = rows.filter("part = 'edge'").select(F.col("b").cast("int").alias("edge_idx"), F.col("a").alias("edge_id"), F.col("c").cast("int").alias("src_idx"), F.col("d").cast("int").alias("dst_idx"), F.col("flag").alias("directed"), F.lit(None).cast("string").alias("name"), texts.alias("properties"))
     pieces = rows.filter("part = 'piece'").select(F.col("b").cast("int").alias("edge_idx"), F.col("c").cast("int").alias("piece"), F.lit(geo.ZOOM).alias("z"), F.col("a").cast("int").alias("x"), F.col("d").cast("int").alias("y"), F.col("points").alias("vertices"))

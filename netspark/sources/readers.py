@@ -26,7 +26,9 @@ def geojson(spark: SparkSession, path: str, reserved: tuple[str, str] = RESERVED
     names = [path] if path.endswith((".json", ".geojson")) else [f"{path}/edges.geojson", f"{path}/nodes.geojson"]
     parts = [spark.read.schema(GEOJSON).json(name, multiLine=True).select(F.posexplode("features").alias("at", "f")).withColumn("nth", F.lit(i)) for i, name in enumerate(names)]
     rows = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
-    texts = F.transform_values(F.coalesce(F.from_json("f.properties", "map<string,variant>"), F.create_map().cast("map<string,variant>")), lambda k, v: F.to_json(v))
+    # Numbers as they are written, so that 10.0 stays a fraction; a text gets its quotes back.
+    told = F.map_zip_with(F.from_json("f.properties", "map<string,variant>"), F.from_json("f.properties", "map<string,string>"), lambda k, v, raw: F.when(F.schema_of_variant(v) == "STRING", F.to_json(v)).otherwise(F.coalesce(raw, F.lit("null"))))
+    texts = F.coalesce(told, F.create_map().cast("map<string,string>"))
     held = rows.select((F.col("nth") * F.lit(1 << 40) + F.col("at")).alias("source_idx"), F.col("f.id").alias("name"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("raw"), texts.alias("p"))
     direction = F.try_element_at("p", F.lit(reserved[1]))
     wrong = held.filter(direction.isNotNull() & ~direction.isin("true", "false", "null")).orderBy("source_idx").select(direction.alias("x")).first()

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from netspark.functions import geo, values
 from netspark.operators.compile import Network, paths
 
-_DELTA = struct.Struct("<QHff")
 #: Property keys of an id and a direction in written files; pass the ones your files use.
 RESERVED = ("_id", "_directed")
 _AROUND = 2 * math.pi * geo.EARTH_RADIUS
@@ -236,7 +235,7 @@ def packed_deltas(deltas: DataFrame) -> DataFrame:
 
     def run(frames):
         for frame in frames:
-            records = [_DELTA.pack(int(e), int(c), t, v) for e, c, t, v in zip(frame.entity_id, frame.channel_id, frame.t_seconds, frame.value, strict=True)]
+            records = [struct.pack("<QHff", int(e), int(c), t, v) for e, c, t, v in zip(frame.entity_id, frame.channel_id, frame.t_seconds, frame.value, strict=True)]
             yield pd.DataFrame({"record": records})
 
     return ordered_deltas(deltas.select("entity_id", "channel_id", "t_seconds", "value")).mapInPandas(run, "record binary")

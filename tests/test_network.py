@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from netspark.functions import identity
 from netspark.operators import fleet, graph, power, state
 from netspark.operators.turns import Turns, runs_of
-from netspark.sources import readers
 
 
 def _edges(spark, rows):
@@ -87,21 +86,9 @@ def test_fleet_near_optimum():
 
 
 def test_load_flow_balances():
-    g = power.Grid(np.array([3, 1, 1]), np.ones(3), np.array([0, -0.5, -0.3]), np.array([0, -0.2, -0.1]), np.zeros(3, complex), np.array([0, 1]), np.array([1, 2]), np.array([0.01, 0.02]), np.array([0.05, 0.06]), np.array([0.02, 0.0]), np.ones(2), np.zeros(2))
+    g = power.grid([3, 1, 1], 1.0, [0, -0.5, -0.3], [0, -0.2, -0.1], [0, 1], [1, 2], [0.01, 0.02], [0.05, 0.06], b=[0.02, 0.0])
     u = power.solve(g)
     into = u * np.conj(power.admittance_matrix(g) @ u)
     assert np.allclose(into[1:], (g.p + 1j * g.q)[1:], atol=1e-8) and into[0].real > 0.8
     a, b = power.branch_flows(g, u)
     assert np.allclose(a[0], into[0], atol=1e-8) and np.allclose(b[1], into[2], atol=1e-8)
-
-
-def test_readers(spark, tmp_path):
-    (tmp_path / "n.geojson").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","id":"a","geometry":{"type":"LineString","coordinates":[[0,0],[1,1]]},"properties":{"_directed":true,"k":"v"}},{"type":"Feature","geometry":{"type":"LineString","coordinates":[[1,1],[2,2]]},"properties":{}}]}')
-    rows = readers.geojson(spark, str(tmp_path / "n.geojson")).orderBy("source_idx").collect()
-    assert [r["name"] for r in rows] == ["a", "edge-1"] and rows[0]["directed"] and rows[0]["lons"] == [0, 1] and rows[0]["properties"] == {"k": "v"}
-    (tmp_path / "n.inp").write_text("[pipes]\n;id n1 n2\nP1  A B 10 ; note\n\n[END]\n")
-    assert [(r["section"], r["fields"]) for r in readers.inp_sections(spark, str(tmp_path / "n.inp")).collect()] == [("PIPES", ["P1", "A", "B", "10"])]
-    (tmp_path / "p.csv").write_text('Lon,lat,meter\n1.5,2.5,"a, b"\n')
-    assert [tuple(r) for r in readers.csv_points(spark, str(tmp_path / "p.csv")).collect()] == [(1.5, 2.5, "a, b")]
-    with pytest.raises(KeyError):
-        readers.reader("none")
