@@ -160,7 +160,7 @@ def date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("c_acctbal").cast("double") / 1000 + 0.05
     named = {"x": x}
-    r = lambda text: F.round(scalar.expression(text, named), 6)
+    r = lambda text: F.round(scalar.expression(text, named), 9)
     return _table(spark, sf_dir, "customer").select("c_custkey", r("2 * x ^ 2 - x / 4 + 1").alias("a"), r("step(x) + sgn(-x) * abs(x)").alias("b"), r("cot(1 + x ^ 2 / 1000) + acot(x) + tanh(x / 10)").alias("c"), r("sqrt(x) + log(x) + log10(x) + exp(-x ^ 2)").alias("d"))
 
 
@@ -354,8 +354,8 @@ def _oracles() -> dict[str, str]:
                    (CASE WHEN x <= 0 THEN 1.0 WHEN x <= 1000 THEN 4.0 WHEN x <= 3000 THEN 2.0 ELSE 9.0 END)::DOUBLE AS step, round(CASE WHEN x < 1000 THEN 3.0 / 1000 WHEN x < 3000 THEN -2.0 / 2000 ELSE 7.0 / 3000 END, 6)::DOUBLE AS slope FROM l""",
         "date_parts": """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)
             SELECT o_orderkey, CAST(d - DATE '1899-12-30' AS BIGINT) AS days, year(d + 1) AS year, month(d + 1) AS month, day(d + 1) AS day, 1 AS hour, 5 AS minute, 9 AS second, dayofyear(d) AS day_of_year, dayofweek(d) + 1 AS day_of_week, day(last_day(d)) AS month_days, strftime(d, '%m/%d/%Y') AS text FROM o""",
-        "expressions": f"""SELECT c_custkey, round(2 * {e} ** 2 - {e} / 4 + 1, 6) AS a, round(CASE WHEN {e} <= 0 THEN 0.0 ELSE 1.0 END + sign(-{e}) * abs({e}), 6) AS b,
-            round(1 / tan(1 + {e} ** 2 / 1000) + pi() / 2 - atan({e}) + (exp({e} / 5) - 1) / (exp({e} / 5) + 1), 6) AS c, round(CASE WHEN {e} >= 0 THEN sqrt(abs({e})) ELSE 0 END + CASE WHEN {e} > 0 THEN ln(abs({e})) + log10(abs({e})) ELSE 0 END + exp(-({e} ** 2)), 6) AS d FROM customer""",
+        "expressions": f"""SELECT c_custkey, round(2 * {e} ** 2 - {e} / 4 + 1, 9) AS a, round(CASE WHEN {e} <= 0 THEN 0.0 ELSE 1.0 END + sign(-{e}) * abs({e}), 9) AS b,
+            round(1 / tan(1 + {e} ** 2 / 1000) + pi() / 2 - atan({e}) + (exp({e} / 5) - 1) / (exp({e} / 5) + 1), 9) AS c, round(CASE WHEN {e} >= 0 THEN sqrt(abs({e})) ELSE 0 END + CASE WHEN {e} > 0 THEN ln(abs({e})) + log10(abs({e})) ELSE 0 END + exp(-({e} ** 2)), 9) AS d FROM customer""",
         "channel_gradient": f"SELECT c_custkey, round(greatest(least(({x} * (1 - (c_custkey % 11) / 10.0::DOUBLE) + 500.0 * ((c_custkey % 11) / 10.0::DOUBLE) + 100.0) / 5100.0, 1.0), 0.0), 9)::DOUBLE AS value FROM customer",
         "layer_bounds": f"WITH {_LINES} SELECT i % 4 AS layer, round(min(x), 6) AS west, round(min(y), 6) AS south, round(max(x + CAST(0.002 AS DOUBLE)), 6) AS east, round(max(y + CAST(0.001 AS DOUBLE)), 6) AS north FROM l GROUP BY 1",
         "route_samples": "SELECT s_suppkey AS path, CAST(k * 30 AS DOUBLE) AS metres, CASE WHEN k * 30 <= 100 THEN k * 18.0::DOUBLE ELSE 60.0 END AS x, CASE WHEN k * 30 <= 100 THEN k * 24.0::DOUBLE ELSE 80.0 + k * 30 - 100 END::DOUBLE AS y FROM supplier, range(0, 10) AS g(k) WHERE k * 30 <= 100 + (s_suppkey % 7) * 10",
