@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from netspark.llm.arrow_text import slices
+from netspark.llm.arrow_text import hand_back, slices
 from netspark.llm.pretoken import PieceMemory
 from netspark.plans.workspace import materialise
 
@@ -75,6 +75,8 @@ def _memory(path: str) -> PieceMemory:
         memory = PieceMemory(encode_many)
         memory.special = {x["content"]: x["id"] for x in vocabulary["added_tokens"] if x["special"]}
         _TOKENIZERS[path] = memory
+        del vocabulary, ranks
+        hand_back()
     return _TOKENIZERS[path]
 
 

@@ -20,7 +20,7 @@ _VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 0x110000, dtype=n
 _POWERS: list[np.ndarray] = []
 _CLASSES: list[np.ndarray] = []
 #: Single documents above this are cut at places where a piece must start.
-LONG_TEXT = 1 << 21
+LONG_TEXT = 1 << 18
 
 
 def classes() -> np.ndarray:
@@ -123,7 +123,7 @@ class PieceMemory:
     Pieces are found by a 64-bit key and then compared by all their code points.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1 << 20):
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1 << 18):
         self.encode_many, self.limit = encode_many, limit
         self._forget()
 
