@@ -112,10 +112,21 @@ def sample(docs: DataFrame, marked: DataFrame, per_label: int, most_chars: int =
     labels are an error, as every label's texts and weights go through the driver.
     """
     marked = marked.filter("label is not null").groupBy("doc_id", "mark").agg(F.max("chars").alias("chars"), F.min("label").alias("label"))
-    order = Window.partitionBy("label").orderBy("mark", "doc_id")
-    ranked = materialise(marked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_label), "marked")
-    if ranked.select("label").distinct().count() > MOST_LABELS:
+    marked = materialise(marked, "marked")
+    sizes = marked.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()
+    if len(sizes) > MOST_LABELS:
         raise ValueError(f"over {MOST_LABELS} labels to learn")
+    if not sizes:
+        return [], []
+    order = Window.partitionBy("label").orderBy("mark", "doc_id")
+    # Marks are even, so those of a frequent label that can be among the least lie below a bound: no label's rows meet in one task.
+    # Four times as many are kept as are wanted; should they ever be too few, all are ranked.
+    bounds = [(r["label"], -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 4 * per_label // r["n"])) for r in sizes]
+    low = docs.sparkSession.createDataFrame(bounds, f"label {dict(marked.dtypes)['label']}, bound long")
+    near = marked.join(F.broadcast(low), "label").filter(F.col("mark") <= F.col("bound")).drop("bound")
+    ranked = materialise(near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_label), "ranked")
+    if ranked.count() < sum(min(per_label, r["n"]) for r in sizes):
+        ranked = materialise(marked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_label), "ranked")
     upto = F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, 0))
     chosen = ranked.withColumn("upto", upto).filter((F.col("upto") <= most_chars) | (F.col("rank") == 1)).collect()  # at most per_label * MOST_LABELS rows
     if not chosen:
