@@ -52,3 +52,11 @@ def test_blocks_reach_what_the_kernel_reaches(spark, blocked, direction):
     found = [sorted(map(tuple, graph.trace(edges, seeds, direction, budget, turns).collect())) for budget in (None, 9)]
     blocked()
     assert [sorted(map(tuple, graph.trace(edges, seeds, direction, budget, turns).collect())) for budget in (None, 9)] == found
+
+
+def test_route_stays_near_its_ends(spark, blocked):
+    chain = _chain(spark, 300)
+    written = blocked()
+    plan = graph.plan_route(chain, [5, 7, 5, 7]).orderBy("leg").collect()
+    assert [(r["cost"], r["reached_at"]) for r in plan] == [(2, 2), (2, 4), (2, 6)]  # edges 5 and 6 cost 2 and 0
+    assert plan[1]["edges"] == [(1 << 60) + 6, (1 << 60) + 5] and written.count("walked") <= 2
