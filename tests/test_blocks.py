@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from netspark.operators import blocks, graph
+from netspark.operators import blocks, fleet, graph
 from netspark.operators.turns import Turns
 
 EDGE = "edge long, src long, dst long, cost long, directed boolean"
@@ -60,3 +60,14 @@ def test_route_stays_near_its_ends(spark, blocked):
     plan = graph.plan_route(chain, [5, 7, 5, 7]).orderBy("leg").collect()
     assert [(r["cost"], r["reached_at"]) for r in plan] == [(2, 2), (2, 4), (2, 6)]  # edges 5 and 6 cost 2 and 0
     assert plan[1]["edges"] == [(1 << 60) + 6, (1 << 60) + 5] and written.count("walked") <= 2
+
+
+def test_fleet_ways_in_blocks(spark, blocked):
+    edges = _network(spark).selectExpr("edge", "src", "dst", "cost", "false as directed")
+    stops = spark.createDataFrame([(0, i, n) for i, n in enumerate((1, 20, 60, 118))], "problem long, stop int, node long")
+    price = {r["edge"]: r["cost"] for r in edges.collect()}
+    wanted = sorted((r["a"], r["b"], r["cost"]) for r in fleet.distances(edges, stops).collect())
+    written = blocked()
+    found = fleet.distances(edges, stops).collect()
+    assert sorted((r["a"], r["b"], r["cost"]) for r in found) == wanted and "walked" in written
+    assert all(sum(price[e] for e in r["edges"]) == r["cost"] for r in found)
