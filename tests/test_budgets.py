@@ -1,11 +1,11 @@
 import pytest
 
-from netspark import queries
+from netspark import catalog, queries
 from netspark.operators import graph
 from tests.oracle import differs, duck
 
 LARGE = "/root/testdata/sf0.1"
-HELD = {"shortest_costs": queries}
+HELD = {"shortest_costs": queries, "path_costs": catalog}
 
 
 @pytest.mark.parametrize("name", sorted(HELD))
