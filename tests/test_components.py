@@ -1,6 +1,6 @@
 import random
 
-from netspark.operators import components
+from netspark.operators import components, graph
 from netspark.operators.components import connected_components
 
 
@@ -38,3 +38,11 @@ def test_rounds_run_over_what_ranges_share(spark, monkeypatch):
     chain = spark.range(5000).selectExpr("id as u", "id + 1 as v")
     assert {r["component"] for r in connected_components(chain).collect()} == {0}
     assert before[0] < 100  # all 5000 edges before
+
+
+def test_isolation_runs_over_what_ranges_share(spark, monkeypatch):
+    plain, before = components._settled, []
+    monkeypatch.setattr(components, "_settled", lambda work, most: (before.append(work.count()), plain(work, most))[1])
+    chain = spark.range(3000).selectExpr("id as edge", "id as src", "id + 1 as dst", "1L as cost", "false as directed")
+    lost = graph.isolation(chain, spark.createDataFrame([(2990,)], "edge long"), spark.createDataFrame([(0,)], "node long"))
+    assert sorted(r["edge"] for r in lost.collect()) == list(range(2990, 3000)) and before[0] < 100
