@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import math
 import operator
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from netspark.plans.workspace import materialise
+from netspark.operators.blocks import BLOCK_ARCS, TABLES, block_of, cuts
+from netspark.plans.workspace import discard, materialise
 
 
 # --- infiltration: depth a step takes, of rain and what stands, in consistent units ---
@@ -152,41 +155,151 @@ def unit_hydrograph(rain: np.ndarray, step: float, responses: list[tuple[float,
 # --- order, routing, shapes ---------------------------------------------------
 
 
+_PASSED = "kind int, block int, node long, count long, flow double, told int, layer int, edge long"
+
+
+def _passing(ends: np.ndarray, schema: pa.Schema):
+    """What a task does with its blocks' rows: edges first, then the nodes that wait, then what arrived.
+
+    A node that waits for nothing more passes its flow on.  ``told`` is 0 where a node
+    had no inflow, 1 where all were null, else 2.
+    """
+
+    def settle(block: int, col: dict[str, np.ndarray]) -> pa.RecordBatch:
+        kind = col["kind"]
+        links, state, news = (np.flatnonzero(kind == k) for k in (0, 1, 2))
+        order = np.argsort(col["node"][state], kind="stable")
+        state = state[order]
+        nodes = col["node"][state]
+        waits, flow, told, layer = (col[c][state].copy() for c in ("count", "flow", "told", "layer"))
+        at = np.searchsorted(nodes, col["node"][news])
+        np.subtract.at(waits, at, col["count"][news])
+        np.add.at(flow, at, col["flow"][news])
+        np.maximum.at(told, at, col["told"][news])
+        np.maximum.at(layer, at, col["layer"][news])
+        # Links whose start has passed on already are left out; ends in other blocks are numbered below 0.
+        start = np.searchsorted(nodes, col["node"][links])
+        here = start < nodes.size
+        here[here] = nodes[start[here]] == col["node"][links][here]
+        links, start = links[here], start[here]
+        order = np.argsort(start, kind="stable")
+        links, start = links[order], start[order]
+        first = np.searchsorted(start, np.arange(nodes.size + 1)).tolist()
+        target = col["other"][links]
+        to = np.where(np.searchsorted(ends, target) == block, np.searchsorted(nodes, target), -1).tolist()
+        share, known = col["flow"][links].tolist(), (col["told"][links] == 2).tolist()
+        waits, flow, told, layer = waits.tolist(), flow.tolist(), told.tolist(), layer.tolist()
+        ready = [i for i, n in enumerate(waits) if n == 0]
+        sent = np.zeros(links.size)
+        marks = np.zeros(links.size, np.int64)
+        levels = np.full(links.size, -1, np.int64)
+        for node in ready:
+            for link in range(first[node], first[node + 1]):
+                mark = told[node] if known[link] else min(told[node], 1)
+                moved = flow[node] * share[link] if mark == 2 else 0.0
+                sent[link], marks[link], levels[link] = moved, mark, layer[node] + 1
+                other = to[link]
+                if other >= 0:
+                    waits[other] -= 1
+                    flow[other] += moved
+                    told[other] = max(told[other], mark)
+                    layer[other] = max(layer[other], layer[node] + 1)
+                    if waits[other] == 0:
+                        ready.append(other)
+        ready = np.array(ready, np.int64)
+        left = np.setdiff1d(np.arange(nodes.size), ready)
+        passed = np.flatnonzero((levels >= 0) & (marks > 0))
+        away = np.flatnonzero((levels >= 0) & (np.array(to, np.int64) < 0))
+        waits, flow, told, layer = (np.array(x) for x in (waits, flow, told, layer))
+        none = lambda rows: np.zeros(rows.size, np.int64)
+        parts = [
+            {"kind": none(passed), "block": none(passed) + block, "node": none(passed), "count": none(passed), "flow": sent[passed], "told": marks[passed], "layer": none(passed), "edge": col["edge"][links[passed]]},
+            {"kind": none(left) + 1, "block": none(left) + block, "node": nodes[left], "count": waits[left], "flow": flow[left], "told": told[left], "layer": layer[left], "edge": none(left)},
+            {"kind": none(away) + 2, "block": np.searchsorted(ends, target[away]), "node": target[away], "count": none(away) + 1, "flow": sent[away], "told": marks[away], "layer": levels[away], "edge": none(away)},
+            {"kind": none(ready) + 3, "block": none(ready) + block, "node": nodes[ready], "count": none(ready), "flow": none(ready), "told": none(ready), "layer": layer[ready], "edge": none(ready)},
+        ]
+        return pa.record_batch([pa.array(np.concatenate([p[f.name] for p in parts])).cast(f.type) for f in schema], schema=schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, []
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            starts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(starts, starts[1:]):
+                if a == b:
+                    continue
+                if held and blocks[a] != place:
+                    yield settle(place, {c: np.concatenate([x.column(c).to_numpy() for x in held]) for c in batch.schema.names})
+                    held = []
+                place = int(blocks[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield settle(place, {c: np.concatenate([x.column(c).to_numpy() for x in held]) for c in held[0].schema.names})
+
+    return run
+
+
+def _passed(edges: DataFrame, inflows: DataFrame | None) -> DataFrame:
+    """Rows of ``_PASSED``: of kind 0 what flows through an edge, of kind 3 the layer of a node.
+
+    ``edges(edge, src, dst, share)``.  Blocks of neighbouring nodes pass on all they can
+    in a task and send what leaves them; nothing is joined.
+    """
+    spark = edges.sparkSession
+    ids = edges.select("edge", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("share").cast("double").alias("share")).filter("src is not null and dst is not null")
+    held = materialise(ids, "edges")
+    ends = cuts(held, "src", -(-held.count() // BLOCK_ARCS))
+    links = materialise(held.repartitionByRange(len(ends) + 1, "src").withColumn("block", block_of(ends, F.col("src"))), "links")
+    discard(held)
+    mark = lambda x: F.when(x.isNull(), 1).otherwise(2)
+    told = links.select(F.col("src").alias("node"), F.lit(1).alias("own"), F.lit(0).alias("count"), F.lit(0.0).alias("flow"), F.lit(0).alias("told")).unionAll(links.select("dst", F.lit(1), F.lit(1), F.lit(0.0), F.lit(0)))
+    if inflows is not None:
+        given = F.col("flow").cast("double")
+        told = told.unionAll(inflows.filter("node is not null").select(F.col("node").cast("long"), F.lit(0), F.lit(0), F.coalesce(given, F.lit(0.0)), mark(given)))
+    nodes = told.groupBy("node").agg(F.max("own").alias("own"), F.sum("count").alias("count"), F.sum("flow").alias("flow"), F.max("told").alias("told")).filter("own = 1")
+    nodes = materialise(nodes.select(F.lit(1).alias("kind"), block_of(ends, F.col("node")).alias("block"), "node", "count", "flow", "told", F.lit(0).alias("layer"), F.lit(0).cast("long").alias("edge")), "waiting")
+    run = _passing(np.array(ends, np.int64), spark.createDataFrame([], _PASSED).toArrow().schema)
+    link_rows = links.select(F.lit(0).alias("kind"), "block", F.col("src").alias("node"), F.lit(0).cast("long").alias("count"), F.coalesce("share", F.lit(0.0)).alias("flow"), mark(F.col("share")).alias("told"), F.lit(0).alias("layer"), "edge", F.col("dst").alias("other"))
+    active = {r["block"] for r in nodes.select("block").distinct().collect()}  # blocks, of BLOCK_ARCS edges each
+    news, out = None, []
+    waiting: list[tuple[set[int], DataFrame]] = [(set(active), nodes)]
+    while active:
+        here = F.col("block").isin(sorted(active))
+        rows = link_rows.filter(here)
+        for own, kept in waiting:
+            if own & active:
+                rows = rows.unionByName(kept.filter(F.col("block").isin(sorted(own & active))).withColumn("other", F.lit(0).cast("long")))
+        if news is not None:
+            rows = rows.unionByName(news.withColumn("other", F.lit(0).cast("long")))
+        found = materialise(rows.repartition(min(4 * len(active), 256), "block").sortWithinPartitions("block", "kind").mapInArrow(run, _PASSED), "passed")
+        waiting = [(own - active, kept) for own, kept in waiting if own - active] + [(set(active), found.filter("kind = 1"))]
+        if len(waiting) > TABLES:
+            waiting = [(set().union(*(own for own, _ in waiting)), materialise(reduce(DataFrame.unionByName, [kept.filter(F.col("block").isin(sorted(own))) for own, kept in waiting]), "waiting"))]
+        out.append(found.filter("kind in (0, 3)"))
+        if len(out) > TABLES:
+            out = [materialise(reduce(DataFrame.unionByName, out), "passed")]
+        arrived = found.filter("kind = 2").groupBy("block", "node").agg(F.sum("count").alias("count"), F.sum("flow").alias("flow"), F.max("told").alias("told"), F.max("layer").alias("layer"))
+        news = arrived.select(F.lit(2).alias("kind"), "block", "node", "count", "flow", "told", "layer", F.lit(0).cast("long").alias("edge"))
+        active = {r["block"] for r in found.filter("kind = 2").select("block").distinct().collect()}
+    if any(not kept.filter(F.col("block").isin(sorted(own))).isEmpty() for own, kept in waiting):
+        raise ValueError("the edges run in a ring")
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], _PASSED)
+
+
 def layers(edges: DataFrame, most: int = 10_000) -> DataFrame:
     """``node, layer`` of ``edges(src, dst)``: a node lies behind all that flow into it; a ring is an error."""
-    held = materialise(edges.select("src", "dst").distinct(), "edges")
-    nodes = materialise(held.select(F.col("src").alias("node")).union(held.select("dst")).distinct(), "nodes")
-    done, count = None, 0
-    left = held
-    rest = nodes
-    while not rest.isEmpty():
-        if count >= most:
-            raise ValueError("more layers than allowed")
-        free = materialise(rest.join(left, F.col("node") == F.col("dst"), "left_anti").withColumn("layer", F.lit(count)), "layer")
-        if free.isEmpty():
-            raise ValueError("the edges run in a ring")
-        done = free if done is None else done.union(free)
-        left = materialise(left.join(free.select(F.col("node").alias("src")), "src", "left_anti"), "left")
-        rest = materialise(rest.join(free.select("node"), "node", "left_anti"), "rest")
-        count += 1
-    return nodes.withColumn("layer", F.lit(0)).limit(0) if done is None else done
+    found = _passed(edges.select(F.lit(0).cast("long").alias("edge"), "src", "dst", F.lit(1.0).alias("share")), None).filter("kind = 3").select("node", "layer")
+    if not found.filter(F.col("layer") >= most).isEmpty():
+        raise ValueError("more layers than allowed")
+    return found
 
 
 def steady_flows(edges: DataFrame, inflows: DataFrame) -> DataFrame:
     """``edge, flow``: inflows passed on downstream, a node's flow over its links by their shares.
 
-    ``edges(edge, src, dst, share)``, ``inflows(node, flow)``; nodes are taken layer by layer.
+    ``edges(edge, src, dst, share)``, ``inflows(node, flow)``; edges that no inflow leads to are not listed.
     """
-    order = materialise(layers(edges), "layers")
-    last = order.agg(F.max("layer")).first()[0]
-    arrived = materialise(inflows.select("node", F.col("flow").cast("double").alias("flow")), "arrived")
-    out = None
-    for layer in range(0, (last if last is not None else -1) + 1):
-        here = order.filter(F.col("layer") == layer).join(arrived.groupBy("node").agg(F.sum("flow").alias("flow")), "node")
-        sent = materialise(here.join(edges, F.col("node") == F.col("src")).select("edge", F.col("dst").alias("to"), (F.col("flow") * F.col("share")).alias("flow")), "sent")
-        out = sent.select("edge", "flow") if out is None else out.union(sent.select("edge", "flow"))
-        arrived = arrived.union(sent.select(F.col("to").alias("node"), "flow"))
-    return out if out is not None else edges.select("edge", F.lit(0.0).alias("flow")).limit(0)
+    return _passed(edges, inflows).filter("kind = 0").select("edge", F.when(F.col("told") == 2, F.col("flow")).alias("flow"))
 
 
 def kinematic(inflow: np.ndarray, step: float, length: float, slope: float, roughness: float, width: float, parts: int = 10) -> np.ndarray:
