@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import operator
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from netspark.operators.blocks import BLOCK_ARCS, TABLES, block_of, cuts
+from netspark.operators.blocks import BLOCK_ARCS, TABLES, block_of, cuts, each_block
 from netspark.plans.workspace import discard, materialise
 
 
@@ -220,23 +220,7 @@ def _passing(ends: np.ndarray, schema: pa.Schema):
         ]
         return pa.record_batch([pa.array(np.concatenate([p[f.name] for p in parts])).cast(f.type) for f in schema], schema=schema)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held = None, []
-        for batch in batches:
-            blocks = batch.column("block").to_numpy()
-            starts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), batch.num_rows]
-            for a, b in zip(starts, starts[1:]):
-                if a == b:
-                    continue
-                if held and blocks[a] != place:
-                    yield settle(place, {c: np.concatenate([x.column(c).to_numpy() for x in held]) for c in batch.schema.names})
-                    held = []
-                place = int(blocks[a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield settle(place, {c: np.concatenate([x.column(c).to_numpy() for x in held]) for c in held[0].schema.names})
-
-    return run
+    return each_block(settle)
 
 
 def _passed(edges: DataFrame, inflows: DataFrame | None) -> DataFrame:
