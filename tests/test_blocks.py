@@ -71,3 +71,21 @@ def test_fleet_ways_in_blocks(spark, blocked):
     found = fleet.distances(edges, stops).collect()
     assert sorted((r["a"], r["b"], r["cost"]) for r in found) == wanted and "walked" in written
     assert all(sum(price[e] for e in r["edges"]) == r["cost"] for r in found)
+
+
+def test_only_long_ways_deal_out_the_arcs(spark, blocked):
+    chain = _chain(spark, 300)
+    written = blocked()
+    near = graph.plan_route(chain, [40, 45, 40]).orderBy("leg").collect()
+    assert [(r["cost"], len(r["edges"])) for r in near] == [(6, 5), (6, 5)] and "blocks" not in written
+    far = graph.plan_route(chain, [170, 0]).collect()[0]
+    assert far["cost"] == sum(i % 3 for i in range(170)) and far["edges"] == [(1 << 60) + i for i in reversed(range(170))]
+    assert written.count("blocks") == 1
+
+
+def test_cuts_with_and_without_a_worker(spark, monkeypatch):
+    ends = [-5, 0, 3, 9]
+    nodes = spark.range(-8, 12)
+    plain = nodes.select("id", blocks.block_of(ends, nodes["id"]).alias("block"))
+    monkeypatch.setattr(blocks, "PLAIN", 0)
+    assert plain.collect() == nodes.select("id", blocks.block_of(ends, nodes["id"]).alias("block")).collect() and plain.filter("block = 2").count() == 3
