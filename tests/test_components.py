@@ -46,3 +46,19 @@ def test_isolation_runs_over_what_ranges_share(spark, monkeypatch):
     chain = spark.range(3000).selectExpr("id as edge", "id as src", "id + 1 as dst", "1L as cost", "false as directed")
     lost = graph.isolation(chain, spark.createDataFrame([(2990,)], "edge long"), spark.createDataFrame([(0,)], "node long"))
     assert sorted(r["edge"] for r in lost.collect()) == list(range(2990, 3000)) and before[0] < 100
+
+
+def test_together_lists_what_hangs_with_the_seeds(spark):
+    edges = spark.createDataFrame([(1, 2), (3, 2), (7, 8), (9, 9), (None, 4), (5, 6)], "src long, dst long")
+    found = lambda *seeds: sorted(r["node"] for r in graph.together(edges, spark.createDataFrame([(x,) for x in seeds], "node long")).collect())
+    assert found(3) == [1, 2, 3] and found(8, 7, 6, None) == [5, 6, 7, 8] and found(40) == [] and found(4) == []
+
+
+def test_isolation_finds_its_components_once(spark, monkeypatch):
+    written, plain = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda rows, label="table": (written.append(label), plain(rows, label))[1])
+    chain = spark.range(50).selectExpr("id as edge", "id as src", "id + 1 as dst", "1L as cost", "false as directed")
+    lost = graph.isolation(chain, spark.createDataFrame([(30,)], "edge long"), spark.createDataFrame([(0,)], "node long"))
+    assert "components" in written  # read by both joins; each found them anew before
+    # Neither the cut nor the seeds make all edges or nodes move to their keys.
+    assert lost.count() == 20 and "BroadcastHashJoin" in lost._jdf.queryExecution().executedPlan().toString()
