@@ -89,3 +89,17 @@ def test_cuts_with_and_without_a_worker(spark, monkeypatch):
     plain = nodes.select("id", blocks.block_of(ends, nodes["id"]).alias("block"))
     monkeypatch.setattr(blocks, "PLAIN", 0)
     assert plain.collect() == nodes.select("id", blocks.block_of(ends, nodes["id"]).alias("block")).collect() and plain.filter("block = 2").count() == 3
+
+
+def test_fleet_rounds_walks_only_its_legs(spark, monkeypatch, tmp_path):
+    from netspark import catalog, queries
+
+    walked, plain = [], graph.relax
+    monkeypatch.setattr(graph, "KERNEL_ARCS", 0)
+    monkeypatch.setattr(graph, "relax", lambda *given: (walked.append(given), plain(*given))[1])
+    spark.range(400).selectExpr("id as c_custkey", "id * 37 % 900 + 0.5 as c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    found = catalog.fleet_rounds(spark, str(tmp_path)).collect()
+    assert sorted(r["stop"] for r in found) == list(range(1, 9)) and not walked  # all of the network from node 1 before
+    monkeypatch.setattr(graph, "KERNEL_ARCS", 1_000_000)
+    assert sorted(map(tuple, catalog.fleet_rounds(spark, str(tmp_path)).collect())) == sorted(map(tuple, found))
+    assert [r["node"] for r in graph.hops(queries.grid_edges(spark, str(tmp_path)), 1).orderBy("node").limit(9).collect()][1:] == [r["node"] for r in sorted(found, key=lambda r: r["stop"])]
